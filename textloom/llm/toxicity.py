@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.llm.common import id_crc, table
 
@@ -147,7 +148,7 @@ def score(docs: DataFrame, model: Model, spark: SparkSession, text_column: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, s], names=[*batch.schema.names, "score"])
 
     clean = docs.drop("score", "predicted")
-    scored = clean.mapInArrow(run, clean.schema.add("score", "double"))
+    scored = clean.mapInArrow(run, StructType([*clean.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
