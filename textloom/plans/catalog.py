@@ -1,10 +1,4 @@
 """Every query of the engine by name, with its SQL counterpart."""
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from textloom.plans import chat, corpus, ingest, leakage, ledger, ngrams, rows  # noqa: F401
+from textloom.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
