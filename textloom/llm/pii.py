@@ -63,20 +63,31 @@ BLOCK = 64
 
 def _starts(lengths: Column) -> Column:
     """Sum of all lengths before each one, in blocks, so that work stays near linear in their number."""
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / F.lit(BLOCK)).cast("int")), lambda b: F.aggregate(F.slice(lengths, b * BLOCK + 1, BLOCK), F.lit(0), lambda s, x: s + x))
-    before = F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, x: s + x))
-    return F.transform(lengths, lambda _, i: F.element_at(before, (i / F.lit(BLOCK)).cast("int") + 1) + F.aggregate(F.slice(lengths, (i - i % BLOCK) + 1, i % BLOCK), F.lit(0), lambda s, x: s + x))
+    add = lambda s, x: s + x
+    total = lambda xs: F.aggregate(xs, F.lit(0), add)
+    ends = lambda ls: F.sequence(F.lit(0), F.ceil(F.size(ls) / F.lit(BLOCK)).cast("int"))
+    blocks = lambda ls: F.transform(ends(ls), lambda b: total(F.slice(ls, b * BLOCK + 1, BLOCK)))
+    before = lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, F.lit(1), b)))
+    place = lambda ls, base: F.transform(ls, lambda _, i: F.element_at(base, (i / F.lit(BLOCK)).cast("int") + 1) + total(F.slice(ls, (i - i % BLOCK) + 1, i % BLOCK)))
+    return _let(lengths, lambda ls: _let(_let(blocks(ls), before), lambda base: place(ls, base)))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _found(text: Column, pattern: str, needs: str, kind: str, strict: bool) -> Column:
     """Leftmost non-overlapping matches as an array of (start, rank, end, value, strict); ends are exclusive, in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    gaps = F.transform(F.slice(between, F.lit(1), F.size(matches)), F.length)
-    sizes = F.zip_with(gaps, matches, lambda g, m: g + F.length(m))
-    starts = F.zip_with(_starts(sizes), gaps, lambda s, g: s + g)
     rank = KINDS.index(kind)
-    spans = F.zip_with(starts, matches, lambda s, m: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end"), m.alias("value"), F.lit(strict).alias("strict")))
+    span = lambda s, m: F.struct(s.alias("start"), F.lit(rank).alias("rank"), (s + F.length(m)).alias("end"), m.alias("value"), F.lit(strict).alias("strict"))
+
+    def placed(matches: Column, gaps: Column) -> Column:
+        sizes = F.zip_with(gaps, matches, lambda g, m: g + F.length(m))
+        return F.zip_with(F.zip_with(_starts(sizes), gaps, lambda s, g: s + g), matches, span)
+
+    between = lambda matches: F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)), F.length)
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda matches: _let(between(matches), lambda gaps: placed(matches, gaps)))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string,strict:boolean>>")
     wanted = text.contains(needs) if needs == "@" else text.rlike(needs)
     return F.when(wanted, spans).otherwise(none)
