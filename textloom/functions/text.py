@@ -13,6 +13,11 @@ JAVA_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 RE2_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"\\A[{JAVA_SPACE}]+|[{JAVA_SPACE}]+\\z", "")
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 
@@ -22,19 +26,34 @@ def gram_hash(gram: Column) -> Column:
 def fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, h): distinct winnowed hashes of each text.
 
-    The least of 25 consecutive gram hashes is taken inside the row, so no text's grams are shuffled.  A
-    text shorter than a gram gives one hash, a blank one none, and one of fewer than 25 grams gives all.
+    The least of 25 consecutive gram hashes is taken beside the text, so no text's grams are shuffled; array
+    functions would take time in the square of its length.  A text shorter than a gram gives one hash, a blank one none, and one of fewer than 25 grams gives all.
     """
-    t = F.col(text)
-    n = F.length(t) - GRAM + 1
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: gram_hash(F.substring(t, i, F.lit(GRAM))))
-    staged = df.select(key, t.alias("_t"), n.alias("_n"), F.when(n >= 1, hashes).alias("_h")).filter(T.strip(F.col("_t")) != "")
-    short = staged.filter("_n < 1").select(key, gram_hash(F.col("_t")).alias("h"))
-    few = staged.filter(f"_n >= 1 and _n < {WINDOW}").select(key, F.explode(F.array_distinct("_h")).alias("h"))
-    many = staged.filter(f"_n >= {WINDOW}").select(key, F.posexplode("_h").alias("i", "g"))
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(-(WINDOW - 1), 0)
-    kept = many.select(key, "i", F.min("g").over(w).alias("h")).filter(F.col("i") >= WINDOW - 1).select(key, "h")
-    return short.unionByName(few).unionByName(kept).distinct()
+    kept = T.strip(F.col(text)) != ""
+
+    def winnow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = winnowed(t)
+                keys.append(np.full(len(found), k, np.int64))
+                out += found
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(out, pa.string())], names=[key, "h"])
+
+    return df.filter(kept).select(F.col(key).cast("long").alias(key), F.col(text).alias("t")).mapInArrow(winnow, f"{key} long, h string")
+
+
+def winnowed(text: str) -> list[str]:
+    """Distinct window minima of a text's gram hashes."""
+    n = max(1, len(text) - GRAM + 1)
+    h = [md5(text[i : i + GRAM].encode()).hexdigest()[:16] for i in range(n)]
+    if n < WINDOW:
+        return sorted(set(h))
+    v = np.array([int(x, 16) for x in h], np.uint64)
+    least, size = v, 1
+    while 2 * size <= WINDOW:
+        least, size = np.minimum(least[:-size], least[size:]), 2 * size
+    return [f"{x:016x}" for x in np.unique(np.minimum(least[: n - WINDOW + 1], least[WINDOW - size :])).tolist()]
 
 
 def lines_of(df: DataFrame, text: str = "text") -> DataFrame:

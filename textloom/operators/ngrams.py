@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.text import let
 from textloom.operators.splits import hash_split
 
 
@@ -19,9 +20,9 @@ def characters(df: DataFrame, text: str = "text") -> DataFrame:
 
 def grams(df: DataFrame, order: int, text: str = "text") -> DataFrame:
     """(gram, n) over each text's own characters."""
-    t = F.col(text)
-    at = F.when(F.length(t) >= order, F.sequence(F.lit(1), F.length(t) - order + 1)).otherwise(F.array().cast("array<int>"))
-    return df.select(F.explode(F.transform(at, lambda i: F.substring(t, i, F.lit(order)))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    found = let(chars, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - order + 1, F.lit(0))), lambda _, i: F.concat(*(F.get(c, i + k) for k in range(order)))))
+    return df.select(F.explode(found).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def contexts(counts: DataFrame, order: int) -> DataFrame:
