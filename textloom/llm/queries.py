@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontaminate import op6_benchmark_decontamination
 from textloom.llm.langid import op8_language_id
+from textloom.llm.lm import op5_lm_scoring
 from textloom.llm.media import op7_media_columns
 from textloom.llm.packing import op1_best_fit_packing
 from textloom.llm.pii import op3_pii
@@ -17,6 +18,7 @@ from textloom.llm.toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pii": op3_pii,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_media_columns": op7_media_columns,
     "op8_language_id": op8_language_id,
