@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from textloom.llm.common import id_crc, table
+from textloom.llm.common import Scratch, id_crc, table
 
 HASH_BITS = 18
 ORDERS = (3, 4, 5)
@@ -70,32 +70,17 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, keep: int = 500, steps: int = 250, decay: float = 2e-3, prior: float | None = None) -> Model:
-    """Log-count ratios, then logistic regression by full-batch gradient descent with momentum.
+def fit(chosen: np.ndarray, ratio: np.ndarray, cols: list[np.ndarray], labels: np.ndarray, steps: int = 250, decay: float = 2e-3, prior: float | None = None) -> Model:
+    """Logistic regression by full-batch gradient descent (Adam) on features scaled by their log-count ratios.
 
-    The ``keep`` features of largest chi-square are used.  ``prior`` is the share of label 1 that the bias
-    is set for; rows of one label only give a constant score.
+    ``cols`` holds the places in ``chosen`` of each row's features.  ``prior`` is the share of label 1 that
+    the bias is set for; rows of one label only give a constant score.
     """
     y = labels.astype(np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << HASH_BITS), 0.0 if not len(y) else (20.0 if y[0] else -20.0))
-    size = 1 << HASH_BITS
-    pos, neg = np.zeros(size), np.zeros(size)
-    for x, t in zip(rows, y):
-        (pos if t else neg)[x] += 1
     n1, n0 = y.sum(), len(y) - y.sum()
-    a, b = pos, neg
-    total = len(y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        chi = total * (a * (n0 - b) - b * (n1 - a)) ** 2 / (n1 * n0 * (a + b) * (total - a - b))
-    chi = np.nan_to_num(chi, nan=0.0, posinf=0.0)
-    chosen = np.argsort(-chi, kind="stable")[:keep]
-    chosen = np.sort(chosen[chi[chosen] > 0])
-    ratio = np.log((pos[chosen] + alpha) / (n1 + 2 * alpha)) - np.log((neg[chosen] + alpha) / (n0 + 2 * alpha))
-    place = np.full(size, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    cols = [place[x][place[x] >= 0] for x in rows]
-    matrix = np.zeros((len(rows), len(chosen)), np.float32)
+    matrix = np.zeros((len(cols), len(chosen)), np.float32)
     for i, c in enumerate(cols):
         matrix[i, c] = ratio[c]
     scale = np.where(y == 1, 0.5 / n1, 0.5 / n0) if prior is None else np.where(y == 1, prior / n1, (1 - prior) / n0)
@@ -109,32 +94,66 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, keep: in
         second_w, second_b = 0.99 * second_w + 0.01 * gw**2, 0.99 * second_b + 0.01 * gb**2
         w -= 0.02 * (vw / (1 - 0.9**t)) / (np.sqrt(second_w / (1 - 0.99**t)) + 1e-8)
         bias -= 0.05 * (vb / (1 - 0.9**t)) / (np.sqrt(second_b / (1 - 0.99**t)) + 1e-8)
-    weights = np.zeros(size)
+    weights = np.zeros(1 << HASH_BITS)
     weights[chosen] = w * ratio
     return Model(weights.astype(np.float32), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["toxic", "x"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of the features under each label, summed over a task's rows."""
+    total = np.zeros((2, 1 << HASH_BITS), np.int64)
+    for batch in batches:
+        for label, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+            total[label, np.frombuffer(x.as_py(), np.int32)] += 1
+    used = np.flatnonzero(total.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0, used]), pa.array(total[1, used])], names=["feature", "neg", "pos"])
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, keep: int = 500, alpha: float = 1.0) -> Model:
     """Fits on at most ``per_label`` labelled rows of each label (a documented bound), with ids outside the held-out fifth.
 
-    Rows with a null label, and documents without a label, are not used; a null text counts as empty.
+    The ``keep`` features of largest chi-square are used; only their counts and the rows' places among them
+    reach the driver.  Rows with a null label, and documents without a label, are not used; a null text
+    counts as empty.
     """
+    spark = docs.sparkSession
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").filter(id_crc() % 5 != 0)
     shares = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("doc_id")
     drawn = [marked.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(per_label) for t in (0, 1)]
     picked = F.broadcast(drawn[0].unionByName(drawn[1]))  # per_label rows of two numbers for each label
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("toxic", "text")
+    scratch = Scratch(spark, "toxicity")
+    held = scratch.keep(both.mapInArrow(_extract, "toxic int, x binary"), "features")
+    n = {r["toxic"]: float(r["n"]) for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = n.get(0, 0.0), n.get(1, 0.0)
+    counts = held.mapInArrow(_count, "feature int, neg long, pos long").groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    a, b = F.col("pos").cast("double"), F.col("neg").cast("double")
+    gap = a * (n0 - b) - b * (n1 - a)
+    chi = F.try_divide((n0 + n1) * gap * gap, F.lit(n1 * n0) * (a + b) * (F.lit(n0 + n1) - a - b))
+    top = counts.withColumn("chi", chi).filter("chi > 0").orderBy(F.desc("chi"), "feature").limit(keep).collect()
+    top.sort(key=lambda r: r["feature"])
+    chosen = np.array([r["feature"] for r in top], np.int64)
+    ratio = np.array([np.log((r["pos"] + alpha) / (n1 + 2 * alpha)) - np.log((r["neg"] + alpha) / (n0 + 2 * alpha)) for r in top])
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << HASH_BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
         for batch in batches:
-            rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["toxic", "x"])
+            rows = [place[np.frombuffer(x.as_py(), np.int32)] for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[r >= 0].tobytes() for r in rows], pa.binary())], names=["toxic", "x"])
 
-    both = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("toxic", "text")
-    got = both.mapInArrow(extract, "toxic int, x binary").collect()
+    got = held.mapInArrow(narrow, "toxic int, x binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))  # the order of arrival must not matter
+    scratch.drop("features")
     total = sum(shares.values())
-    return fit([np.frombuffer(r[1], np.int32) for r in got], np.array([r[0] for r in got]), prior=shares.get(1, 0) / total if total else None)
+    return fit(chosen, ratio, [np.frombuffer(r[1], np.int32) for r in got], np.array([r[0] for r in got]), prior=shares.get(1, 0) / total if total else None)
 
 
 def score(docs: DataFrame, model: Model, spark: SparkSession, text_column: str = "text") -> DataFrame:
