@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.decontaminate import op6_benchmark_decontamination
+from textloom.llm.html import op4_html_extraction
 from textloom.llm.langid import op8_language_id
 from textloom.llm.lm import op5_lm_scoring
 from textloom.llm.media import op7_media_columns
@@ -18,6 +19,7 @@ from textloom.llm.toxicity import op10_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_pii": op3_pii,
+    "op4_html_extraction": op4_html_extraction,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_media_columns": op7_media_columns,
