@@ -14,10 +14,12 @@ from textloom.llm.media import op7_media_columns
 from textloom.llm.packing import op1_best_fit_packing
 from textloom.llm.pii import op3_pii
 from textloom.llm.simhash import op9_simhash_near_dedup
+from textloom.llm.suffixes import op2_suffix_array_dedup
 from textloom.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_pii": op3_pii,
     "op4_html_extraction": op4_html_extraction,
     "op5_lm_scoring": op5_lm_scoring,
