@@ -1 +1,83 @@
+"""Conversation data: head lines, examples, truncation, gates and summaries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import text as T
+from textloom.plans.registry import query, table
+
+
+@query("conversation_summary", "select count(distinct conv_id) conversations, count(*) turns, count(*) filter (role = 'assistant') answers, count(*) filter (role = 'system') systems, max(turn) last_turn, sum(length(text)) chars from conversations")
+def conversation_summary(spark, d):
+    c = table(spark, d, "conversations")
+    return c.agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count_if(F.col("role") == "system").alias("systems"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("conversation_parts", "select conv_id, string_agg(role || ':' || length(text), ',' order by turn) shape from conversations group by conv_id")
+def conversation_parts(spark, d):
+    """Turns of a conversation as one array of (role, text) parts, here shown by their lengths."""
+    parts = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    g = table(spark, d, "conversations").groupBy("conv_id").agg(parts.alias("parts"))
+    return g.select("conv_id", F.array_join(F.transform("parts", lambda p: F.concat(p["role"], F.lit(":"), F.length(p["text"]).cast("string"))), ",").alias("shape"))
+
+
+@query("head_split", "with l as (select doc_id, string_split('Problem: ' || doc_id || chr(10) || 'Signature: f' || chr(10) || text, chr(10)) ls from documents), h as (select doc_id, ls, coalesce(list_position(list_transform(ls, lambda x: regexp_matches(x, '^(Problem|Signature|Example):')), false) - 1, len(ls)) n from l) select doc_id, n n_head, length(array_to_string(ls[n + 1:], chr(10))) body_chars from h")
+def head_split(spark, d):
+    whole = F.concat(F.lit("Problem: "), F.col("doc_id").cast("string"), F.lit("\nSignature: f\n"), F.col("text"))
+    x = table(spark, d, "documents").select("doc_id", F.split(whole, "\n", -1).alias("ls"))
+    is_head = F.transform("ls", lambda v: v.rlike("^(Problem|Signature|Example):"))
+    x = x.withColumn("n", F.when(F.array_position(is_head, False) > 0, F.array_position(is_head, False) - 1).otherwise(F.size("ls").cast("long")))
+    body = F.array_join(F.slice("ls", F.col("n").cast("int") + 1, F.size("ls")), "\n")
+    return x.select("doc_id", F.col("n").alias("n_head"), F.length(body).cast("long").alias("body_chars"))
+
+
+@query("example_lines", "with t as (select conv_id, turn, 'Example: f(' || conv_id || ', [' || turn || ']) == ' || (conv_id + turn) || chr(10) || text as doc from conversations), e as (select conv_id, turn, regexp_extract_all(doc, '(?m)^Example: ([a-z_]+)\\((.*)\\) == (.*)$', 1) f, regexp_extract_all(doc, '(?m)^Example: ([a-z_]+)\\((.*)\\) == (.*)$', 2) a, regexp_extract_all(doc, '(?m)^Example: ([a-z_]+)\\((.*)\\) == (.*)$', 3) r from t) select conv_id, turn, f[1] fn, a[1] args, r[1] expected, not json_valid('[' || a[1] || ']') error from e where len(f) > 0")
+def example_lines(spark, d):
+    doc = F.concat(F.lit("Example: f("), F.col("conv_id").cast("string"), F.lit(", ["), F.col("turn").cast("string"), F.lit("]) == "), (F.col("conv_id") + F.col("turn")).cast("string"), F.lit("\n"), F.col("text"))
+    pattern = F.lit("(?m)^Example: ([a-z_]+)\\((.*)\\) == (.*)$")
+    x = table(spark, d, "conversations").withColumn("doc", doc)
+    e = x.select("conv_id", "turn", *(F.get(F.regexp_extract_all("doc", pattern, F.lit(i)), F.lit(0)).alias(n) for i, n in ((1, "fn"), (2, "args"), (3, "expected")))).filter("fn is not null")
+    return e.withColumn("error", F.try_parse_json(F.concat(F.lit("["), "args", F.lit("]"))).isNull())
+
+
+@query("truncate_completion", "select conv_id, turn, sha1(case when contains(text, '.') then substr(text, 1, instr(text, '.')) else text end) cut from conversations")
+def truncate_completion(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha1(T.truncate_after(F.col("text"), ".")).alias("cut"))
+
+
+@query("short_text", "select conv_id, turn, substr(regexp_replace(regexp_replace(text, '\\A[" + T.RE2_SPACE + "]+|[" + T.RE2_SPACE + "]+\\z', '', 'g'), '[" + T.RE2_SPACE + "]+', ' ', 'g'), 1, 160) short from conversations")
+def short_text(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.shorten(F.col("text")).alias("short"))
+
+
+@query("heldout_gate", "with ids as (select distinct item_id from benchmark where item_id % 4 = 0), m as (select doc_id, unnest(regexp_extract_all(text, '[0-9]+')) id from documents) select distinct doc_id from m where try_cast(id as bigint) in (select item_id from ids)")
+def heldout_gate(spark, d):
+    """Documents that name a held-out id: the mentions are exploded and semi-joined, whatever the number of ids."""
+    ids = table(spark, d, "benchmark").filter("item_id % 4 = 0").select(F.col("item_id").alias("id")).distinct()
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("m"))
+    return m.select("doc_id", F.col("m").try_cast("bigint").alias("id")).join(ids, "id", "left_semi").select("doc_id").distinct()
+
+
+@query("corpus_containment", "select item_id, exists (select 1 from documents d where contains(d.text, b.text)) contained from benchmark b")
+def corpus_containment(spark, d):
+    """Whether each pair text lies in the corpus: the pairs go to the documents, in blocks of a checked size."""
+    items = table(spark, d, "benchmark")
+    docs = table(spark, d, "documents").select("text")
+    rows, found = items.select("item_id", "text").toLocalIterator(), None
+    block, size = [], 0
+
+    def matched(part):
+        pairs = F.array(*(F.struct(F.lit(i).cast("long").alias("item_id"), F.lit(t).alias("t")) for i, t in part))
+        hits = docs.select(F.explode(F.filter(pairs, lambda p: F.col("text").contains(p["t"]))).alias("p"))
+        return hits.select("p.item_id").distinct()
+
+    for r in rows:
+        block.append((r["item_id"], r["text"]))
+        size += len(r["text"] or "")
+        if size > 1_000_000:
+            found, block, size = (matched(block) if found is None else found.unionByName(matched(block))), [], 0
+    if block:
+        found = matched(block) if found is None else found.unionByName(matched(block))
+    hit = found.distinct().withColumn("hit", F.lit(True))
+    return items.select("item_id").join(hit, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("contained"))
