@@ -232,6 +232,8 @@ def _sort_blocks(length: int):
         size = 0
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
+            # a block of a large core can be here under several salts: once is enough, and twice would repeat itself
+            rows = list({(r[2], r[3]): r for r in rows}.values())
             found = repeated_starts([np.frombuffer(r[4], np.uint8) for r in rows], length)
             out = []
             for r, hit in zip(rows, found):
