@@ -259,16 +259,19 @@ def repeats(docs: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataF
     """(doc_id, a, b): byte ranges of each text that lie under repeated strings of ``length`` bytes; ranges may overlap."""
     scratch = Scratch(spark, "suffixes")
     rows = scratch.keep(docs.mapInArrow(_anchor_rows, ANCHORS), "anchors")
-    cores = rows.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core")
+    # read from a table, so that the join deals its rows anew and a common core's can be split
+    cores = scratch.keep(rows.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "cores")
     shared = scratch.keep(rows.join(cores, "core", "left_semi"), "shared")
     scratch.drop("anchors")
+    scratch.drop("cores")
     item = F.struct("doc_id", "first", "last")
     blocks = scratch.keep(shared.groupBy("core", "block").agg(F.count("*").alias("c"), F.min(item).alias("x")), "blocks")
     whole = shared.join(blocks.filter("c > 1").select("core", "block"), ["core", "block"], "left_semi").select("doc_id", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     # blocks that occur once, and one of each other block of their cores to compare them with
     solo = blocks.filter("c = 1").groupBy("core").agg(F.count("*").alias("s"))
     n = blocks.groupBy("core").agg(F.count("*").alias("n"))
-    open_ = blocks.join(solo.join(n, "core").filter("n > 1").select("core", "n"), "core").select("core", "n", "x.*")
+    mixed = scratch.keep(solo.join(n, "core").filter("n > 1").select("core", "n"), "mixed")
+    open_ = blocks.join(mixed, "core").select("core", "n", "x.*")
     items = open_.groupBy("doc_id").agg(F.collect_list(F.struct("core", "n", "first", "last")).alias("items"))  # of one document
     cut = docs.join(items, "doc_id").select("doc_id", "text", "items").mapInArrow(_cut(length), BLOCKS)
     met = cut.repartition(shuffle_parts(spark), "core", "salt").sortWithinPartitions("core", "salt")
