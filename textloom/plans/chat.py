@@ -8,7 +8,7 @@ from textloom.functions import text as T
 from textloom.plans.registry import query, table
 
 
-@query("conversation_summary", "select count(distinct conv_id) conversations, count(*) turns, count(*) filter (role = 'assistant') answers, count(*) filter (role = 'system') systems, max(turn) last_turn, sum(length(text)) chars from conversations")
+@query("conversation_summary", "select count(distinct conv_id) conversations, count(*) turns, count(*) filter (role = 'assistant') answers, count(*) filter (role = 'system') systems, max(turn) last_turn, cast(sum(length(text)) as bigint) chars from conversations")
 def conversation_summary(spark, d):
     c = table(spark, d, "conversations")
     return c.agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("turns"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count_if(F.col("role") == "system").alias("systems"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))

@@ -57,7 +57,7 @@ def min_length_filter(spark, d):
     return table(spark, d, "documents").filter((F.length("text") >= 200) & (T.strip(F.col("text")) != "")).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("segment_documents", "with j as (select source, string_agg(text, chr(10) || chr(10) order by doc_id) corpus from documents where doc_id < 1000000000 group by source), s as (select source, unnest(string_split(corpus, chr(10) || chr(10))) doc from j) select source, count(*) n_docs, sum(length(doc)) n_chars from s where trim(doc) <> '' group by source")
+@query("segment_documents", "with j as (select source, string_agg(text, chr(10) || chr(10) order by doc_id) corpus from documents where doc_id < 1000000000 group by source), s as (select source, unnest(string_split(corpus, chr(10) || chr(10))) doc from j) select source, count(*) n_docs, cast(sum(length(doc)) as bigint) n_chars from s where trim(doc) <> '' group by source")
 def segment_documents(spark, d):
     docs = table(spark, d, "documents")
     return splits.segments(docs, "text").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("doc")).alias("n_chars"))
@@ -100,20 +100,20 @@ def reason_cascade(spark, d):
     return r.select("doc_id", "reason", "included")
 
 
-@query("reason_histogram", f"with x as (select doc_id, text, {PATH} p from documents), y as (select *, {REASON} p_reason from x) select coalesce({CONTENT_REASON}, 'included') reason, count(*) n, sum(strlen(text)) bytes from y group by 1")
+@query("reason_histogram", f"with x as (select doc_id, text, {PATH} p from documents), y as (select *, {REASON} p_reason from x) select coalesce({CONTENT_REASON}, 'included') reason, count(*) n, cast(sum(strlen(text)) as bigint) bytes from y group by 1")
 def reason_histogram(spark, d):
     r = provenance.inspect(provenance.with_paths(table(spark, d, "documents")))
     return r.groupBy(F.coalesce("reason", F.lit("included")).alias("reason")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
-@query("source_counts", f"select source, lang, grouping(source) g_source, grouping(lang) g_lang, count(*) n, sum(strlen(text)) bytes, count(distinct sha1(text)) n_distinct from documents group by grouping sets ((source), (lang), ())")
+@query("source_counts", f"select source, lang, grouping(source) g_source, grouping(lang) g_lang, count(*) n, cast(sum(strlen(text)) as bigint) bytes, count(distinct sha1(text)) n_distinct from documents group by grouping sets ((source), (lang), ())")
 def source_counts(spark, d):
     x = table(spark, d, "documents").select("source", "lang", F.octet_length("text").alias("b"), F.sha1("text").alias("h"))
     g = x.groupingSets([[F.col("source")], [F.col("lang")], []], "source", "lang")
     return g.agg(F.grouping("source").cast("long").alias("g_source"), F.grouping("lang").cast("long").alias("g_lang"), F.count("*").alias("n"), F.sum("b").alias("bytes"), F.count_distinct("h").alias("n_distinct"))
 
 
-@query("split_totals", f"with s as (select source, strlen(text) b, case when sha256('{SEED}' || chr(0) || source) < '{T.threshold(0.25, 256)}' then 'validation' else 'train' end split from documents) select split, count(*) n_docs, count(distinct source) n_groups, sum(b) bytes, round(sum(b) / sum(sum(b)) over (), 9) byte_fraction from s group by split")
+@query("split_totals", f"with s as (select source, strlen(text) b, case when sha256('{SEED}' || chr(0) || source) < '{T.threshold(0.25, 256)}' then 'validation' else 'train' end split from documents) select split, count(*) n_docs, count(distinct source) n_groups, cast(sum(b) as bigint) bytes, round(sum(b) / sum(sum(b)) over (), 9) byte_fraction from s group by split")
 def split_totals(spark, d):
     s = table(spark, d, "documents").select("source", F.octet_length("text").alias("b"), T.group_split(F.col("source"), SEED, 0.25).alias("split"))
     g = s.groupBy("split").agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_groups"), F.sum("b").alias("bytes"))
@@ -144,7 +144,7 @@ def quoted_urls(spark, d):
     return x.select("doc_id", F.concat(F.lit("https://example.org/blob/main/"), T.quoted_path(F.concat("path", F.lit(" é+")))).alias("url"))
 
 
-@query("corpus_fingerprint", "select sum(length(text)) + 2 * (count(*) - 1) chars, (select count(distinct ch) from (select unnest(string_split(text, '')) ch from documents) where ch <> '') vocab, substr(sha1(string_agg(sha1(text), '' order by doc_id)), 1, 12) digest from documents")
+@query("corpus_fingerprint", "select cast(sum(length(text)) + 2 * (count(*) - 1) as bigint) chars, (select count(distinct ch) from (select unnest(string_split(text, '')) ch from documents) where ch <> '') vocab, substr(sha1(string_agg(sha1(text), '' order by doc_id)), 1, 12) digest from documents")
 def corpus_fingerprint(spark, d):
     return splits.fingerprint(table(spark, d, "documents"))
 

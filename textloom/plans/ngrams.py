@@ -68,6 +68,6 @@ def validation_coverage(spark, d):
     return side("val").join(side("train"), "ch", "left_anti")
 
 
-@query("closed_fraction", "with m(model, nats, baseline, floor) as (values ('a', 2.1, 3.0, 1.0), ('b', 3.5, 3.0, 1.0), ('c', 2.0, 2.0, 2.0)) select model, nats, baseline, floor, case when baseline > floor then round((baseline - nats) / (baseline - floor), 9) end closed, case when baseline <= floor then 'no distance to close' end reason from m")
+@query("closed_fraction", "with m(model, nats, baseline, floor) as (values ('a', 2.1::double, 3.0::double, 1.0::double), ('b', 3.5, 3.0, 1.0), ('c', 2.0, 2.0, 2.0)) select model, nats, baseline, floor, case when baseline > floor then round((baseline - nats) / (baseline - floor), 9) end closed, case when baseline <= floor then 'no distance to close' end reason from m")
 def closed_fraction(spark, d):
     return N.closed_fraction(spark.createDataFrame([("a", 2.1, 3.0, 1.0), ("b", 3.5, 3.0, 1.0), ("c", 2.0, 2.0, 2.0)], "model string, nats double, baseline double, floor double"))

@@ -35,7 +35,7 @@ def doc_rows(spark, d):
     return r.select("doc_id", _ints("x").alias("x"), _ints("y").alias("y"), F.col("n_targets").cast("long").alias("n_targets"), F.col("n_cut").cast("long").alias("n_cut"))
 
 
-@query("doc_row_accounting", f"with i as (select doc_id, text, length({BODY}) + 2 n from documents) select count(*) documents, sum(least(n, 257) - 1) target_tokens, count(*) filter (n > 257) cut_documents, sum(greatest(n - 257, 0)) cut_tokens, max(n) longest_tokens, count(*) filter (contains({BODY}, chr(10) || chr(10))) blank_line_documents from i where n >= 2")
+@query("doc_row_accounting", f"with i as (select doc_id, text, length({BODY}) + 2 n from documents) select count(*) documents, cast(sum(least(n, 257) - 1) as bigint) target_tokens, count(*) filter (n > 257) cut_documents, cast(sum(greatest(n - 257, 0)) as bigint) cut_tokens, max(n) longest_tokens, count(*) filter (contains({BODY}, chr(10) || chr(10))) blank_line_documents from i where n >= 2")
 def doc_row_accounting(spark, d):
     body = F.regexp_replace("text", "\\A[\\r\\n]+|[\\r\\n]+\\z", "")
     x = table(spark, d, "documents").select(body.alias("b"), (F.length(body) + 2).alias("n")).filter("n >= 2")
@@ -87,7 +87,7 @@ def full_batches(spark, d):
     return rows.filter(F.col("batch") < F.floor(F.col("total") / 16)).select("conv_id", "batch")
 
 
-@query("mask_audit", f"with t as (select * from {TURNS} where prompt <> '' and answer <> '') select count(*) rows, sum(length(prompt) + length(answer) - 1) tokens, sum(length(answer)) supervised, count(*) filter (length(prompt) + length(answer) - 1 > 512) overlength, bool_and(length(answer) > 0) all_supervised from t")
+@query("mask_audit", f"with t as (select * from {TURNS} where prompt <> '' and answer <> '') select count(*) rows, cast(sum(length(prompt) + length(answer) - 1) as bigint) tokens, cast(sum(length(answer)) as bigint) supervised, count(*) filter (length(prompt) + length(answer) - 1 > 512) overlength, bool_and(length(answer) > 0) all_supervised from t")
 def mask_audit(spark, d):
     t = _turns(spark, d).filter("prompt <> '' and answer <> ''").select(R.char_ids(F.col("prompt")).alias("p"), R.char_ids(F.col("answer")).alias("a"))
     x, y = R.masked(F.col("p"), F.col("a"))
