@@ -148,3 +148,31 @@ def test_metric_stream(spark, tmp_path):
     q.awaitTermination(60)
     r = spark.table("patience_out").first()
     assert (r.best, r.best_step, r.stopped) == (2.0, 2, True)
+
+
+def test_studies(spark):
+    from textloom.operators import studies
+
+    assert studies.leaf_paths('{"a": {"b": 1, "c": []}, "d": {}}') == [("a.b", "1"), ("a.c", "[]"), ("d", "{}")]
+    pairs = spark.createDataFrame([(["a", "b"], ["a", "c", "d"]), (["a"], ["a"]), ([], ["a"])], "a array<string>, b array<string>")
+    assert [tuple(r) for r in pairs.select(*studies.agreement(F.col("a"), F.col("b"))).collect()] == [(1, 1), (1, 1), (0, 0)]
+
+
+def test_memo_encodes_only_misses(spark):
+    from textloom.operators import bpe
+
+    texts = docs(spark, ["x", "yy", "x", "zzz"])
+    encoder = lambda df: df.select("doc_id", F.array(F.length("text")).alias("ids"))
+    memo = texts.filter("doc_id = 1").select(bpe.cache_key(F.col("text"), "t").alias("cache_key"), F.array(F.lit(9)).alias("ids"))
+    every, fresh = bpe.cached(texts, memo, "t", encoder)
+    assert {r.doc_id: r.ids for r in every.collect()} == {0: [1], 1: [9], 2: [1], 3: [3]}
+    assert fresh.count() == 2
+
+
+def test_read_files_and_summary(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("grüße".encode())
+    (tmp_path / "b.bin").write_bytes(b"\0\1")
+    (tmp_path / "c.html").write_bytes(b"<p>one<p>two")
+    got = {r.path.rpartition("/")[2]: (r.text, r.word) for r in files.read_files(spark, str(tmp_path), max_bytes=100).collect()}
+    assert got == {"a.txt": ("grüße", "read"), "b.bin": (None, "not text"), "c.html": ("one\ntwo", "read")}
+    assert {(r.word, r.n) for r in files.summary(files.read_files(spark, str(tmp_path), max_bytes=3)).collect()} == {("too big", 2), ("not text", 1)}
