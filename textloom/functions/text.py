@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +16,31 @@ JAVA_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 RE2_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 
+#: The salts of the holdout digest and of the tool-use digest.
+HOLDOUT_SALT, TOOL_SALT = "locallm-split", "dawnr-chat-tool"
+
+
+#: What the Unicode name of an accented letter holds.
+ACCENTS = ("WITH GRAVE", "WITH ACUTE", "WITH CEDILLA", "WITH DIAERESIS", "WITH CIRCUMFLEX", "WITH TILDE", "WITH MACRON", "WITH RING ABOVE")
+
+
+@lru_cache(maxsize=None)
+def accented(ch: str) -> bool:
+    return ch.isalpha() and any(k in unicodedata.name(ch, "") for k in ACCENTS)
+
+
+def accent_class(escape: str) -> str:
+    """The accented letters of the basic plane as ranges of a regular expression's class; escape is like '\\\\u{:04x}'."""
+    codes = [c for c in range(0x80, 0xD800) if accented(chr(c))]
+    out = []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(escape.format(a) + ("-" + escape.format(b) if b > a else "") for a, b in out)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, also where body uses it inside a lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -41,14 +69,14 @@ def normalized_hash(text: Column) -> Column:
     return F.sha2(normalized(text), 256)
 
 
-def holdout_digest(text: Column, seed: int, salt: str = "locallm-split") -> Column:
+def holdout_digest(text: Column, seed: int, salt: str = HOLDOUT_SALT) -> Column:
     """First 8 bytes, as hex, of the salted digest that decides on a document's side."""
     nul = F.unhex(F.lit("00"))
     payload = F.concat(F.encode(F.lit(salt), "UTF-8"), nul, F.encode(F.lit(str(seed)), "UTF-8"), nul, F.encode(strip(text), "UTF-8"))
     return F.substring(F.sha2(payload, 256), 1, 16)
 
 
-def hash_split(text: Column, seed: int, fraction: float, salt: str = "locallm-split") -> Column:
+def hash_split(text: Column, seed: int, fraction: float, salt: str = HOLDOUT_SALT) -> Column:
     """'val' or 'train' from the text alone: the digest against a fixed-width hex threshold."""
     return F.when(holdout_digest(text, seed, salt) < threshold(fraction, 64), "val").otherwise("train")
 

@@ -14,7 +14,7 @@ SEED, FRACTION = 1337, 0.1
 STRIP = f"regexp_replace(text, '\\A[{S}]+|[{S}]+\\z', '', 'g')"
 LINES_OF = f"list_filter(string_split(regexp_replace(text, '{L}', chr(10), 'g'), chr(10)), lambda x, i: i < len(string_split(regexp_replace(text, '{L}', chr(10), 'g'), chr(10))) or x <> '')"
 NORM = f"sha256(regexp_replace(array_to_string(list_transform({LINES_OF}, lambda x: regexp_replace(x, '[{S}]+\\z', '')), chr(10)), '\\A[{S}]+|[{S}]+\\z', '', 'g'))"
-SPLIT = f"case when substr(sha256('locallm-split' || chr(0) || '{SEED}' || chr(0) || {STRIP}), 1, 16) < '{T.threshold(FRACTION, 64)}' then 'val' else 'train' end"
+SPLIT = f"case when substr(sha256('{T.HOLDOUT_SALT}' || chr(0) || '{SEED}' || chr(0) || {STRIP}), 1, 16) < '{T.threshold(FRACTION, 64)}' then 'val' else 'train' end"
 SURVIVORS = f"select min(doc_id) doc_id from documents group by sha1({STRIP})"
 PATH = "source || '/' || lang || '/' || case when doc_id % 7 = 0 then 'tests' when doc_id % 11 = 0 then 'vendor' else 'lib' end || '/' || case when doc_id % 13 = 0 then 'mbpp_' when doc_id % 5 = 0 then 'test_' else '' end || 'mod' || (doc_id % 50) || '.md'"
 REASON = f"""case when list_has_any(string_split(lower(p), '/'), ['vendor','vendored','third_party','third-party','external','fixtures','fixture','testdata','test_data','__pycache__','node_modules','target','_build','build','.lake']) then 'vendored-generated-or-fixture-directory'
@@ -68,9 +68,9 @@ def hash_split(spark, d):
     return splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("doc_id", "split")
 
 
-@query("tool_sample", "select doc_id, substr(sha256('dawnr-chat-tool' || chr(0) || '7' || chr(0) || " + STRIP + f"), 1, 16) < '{T.threshold(0.5, 64)}' uses_tool from documents")
+@query("tool_sample", f"select doc_id, substr(sha256('{T.TOOL_SALT}' || chr(0) || '7' || chr(0) || " + STRIP + f"), 1, 16) < '{T.threshold(0.5, 64)}' uses_tool from documents")
 def tool_sample(spark, d):
-    return table(spark, d, "documents").select("doc_id", (T.holdout_digest(F.col("text"), 7, "dawnr-chat-tool") < T.threshold(0.5, 64)).alias("uses_tool"))
+    return table(spark, d, "documents").select("doc_id", (T.holdout_digest(F.col("text"), 7, T.TOOL_SALT) < T.threshold(0.5, 64)).alias("uses_tool"))
 
 
 @query("group_split_source", f"select source, count(*) n_docs, case when sha256('{SEED}' || chr(0) || source) < '{T.threshold(0.25, 256)}' then 'validation' else 'train' end split from documents group by source")

@@ -34,12 +34,12 @@ def readable_text(spark, d):
     return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", (~F.col("text").contains("\0") & ((1 - bad / F.length("text")) >= 0.9)).alias("readable"))
 
 
-@query("accent_gate", "with p as (select doc_id, text, length(text) n, ceil(length(text) / ceil(length(text) / 512.0))::bigint step from documents where length(text) > 0), c as (select doc_id, substr(text, cast(i * step + 1 as bigint), step) part from (select *, unnest(range(0, ceil(n / step)::bigint)) i from p)), s as (select doc_id, length(regexp_replace(part, '[^\\pL]', '', 'g')) letters, length(regexp_replace(part, '[^\\x{c0}-\\x{24f}]|[\\x{d7}\\x{f7}]', '', 'g')) accented from c) select doc_id, count(*) filter (letters >= 8) judged, count(*) filter (letters >= 8 and accented / letters >= 0.35) tripped, round(coalesce(max(accented / letters) filter (letters >= 8), 0), 9) worst from s group by doc_id")
+@query("accent_gate", "with p as (select doc_id, text, length(text) n, ceil(length(text) / ceil(length(text) / 512.0))::bigint step from documents where length(text) > 0), c as (select doc_id, substr(text, cast(i * step + 1 as bigint), step) part from (select *, unnest(range(0, ceil(n / step)::bigint)) i from p)), s as (select doc_id, length(regexp_replace(part, '[^\\pL]', '', 'g')) letters, length(regexp_replace(part, '[^" + T.accent_class("\\x{{{:x}}}") + "]', '', 'g')) accented from c) select doc_id, count(*) filter (letters >= 8) judged, count(*) filter (letters >= 8 and accented / letters >= 0.35) tripped, round(coalesce(max(accented / letters) filter (letters >= 8), 0), 9) worst from s group by doc_id")
 def accent_gate(spark, d):
     """Chunks are cut by position, so each is a row of its own and long texts don't make slow rows."""
     p = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", "text", F.ceil(F.length("text") / F.ceil(F.length("text") / 512.0)).alias("step"))
     c = p.select("doc_id", F.posexplode(F.expr("regexp_extract_all(text, concat('(?s).{1,', step, '}'), 0)")).alias("i", "part"))
-    letters, accented = F.regexp_count("part", F.lit("\\p{L}")), F.regexp_count("part", F.lit("[\\u00c0-\\u024f&&[^\\u00d7\\u00f7]]"))
+    letters, accented = F.regexp_count("part", F.lit("\\p{L}")), F.regexp_count("part", F.lit("[" + T.accent_class("\\u{:04x}") + "]"))
     s = c.select("doc_id", letters.alias("letters"), accented.alias("accented"))
     enough, share = F.col("letters") >= 8, F.try_divide(F.col("accented"), F.col("letters"))
     return s.groupBy("doc_id").agg(F.count_if(enough).alias("judged"), F.count_if(enough & (share >= 0.35)).alias("tripped"), F.round(F.coalesce(F.max(F.when(enough, share)), F.lit(0.0)), 9).alias("worst"))
