@@ -162,3 +162,8 @@ def order_split(spark, d):
 @query("stratified_windows", "with t as (select doc_id, length(text) n, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(length(text)) over () total from documents), w as (select i, (select max(total) from t) * i // 10 a from range(10) r(i)) select cast(i as bigint) stratum, cast(a as bigint) start, t.doc_id from w join t on a >= before and a < before + n")
 def stratified_windows(spark, d):
     return splits.stratified(table(spark, d, "documents"), 10)
+
+
+@query("weighted_draws", "with t as (select doc_id, length(text) n, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(length(text)) over () total from documents), w as (select i, ('0x' || substr(md5('7:' || i), 1, 8))::bigint % (select max(total) from t) u from range(64) r(i)) select i draw, doc_id, cast(u - before as bigint) as \"offset\" from w join t on u >= before and u < before + n")
+def weighted_draws(spark, d):
+    return splits.weighted_draws(table(spark, d, "documents"), 64, 7)
