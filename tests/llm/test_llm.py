@@ -300,6 +300,25 @@ def test_near_duplicates(spark, empty):
     assert neardup.keep_one(spark, empty, "").count() == 0
 
 
+def test_near_duplicates_across_parts(spark, monkeypatch):
+    """Edited copies are near their base alone, and the base hasn't the least id of its class."""
+    base = prose(200, 60).split()
+    spots = np.random.default_rng(61)
+    texts = []
+    for k in range(24):
+        at = 5 + np.arange(4) * 48 + spots.integers(0, 40, 4)
+        texts.append(" ".join(f"new{k}" if i in at else w for i, w in enumerate(base)))
+    texts.append(" ".join(base))
+    sets = [set(neardup.shingle_set(t, 5).tolist()) for t in texts]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert all(near(s, sets[-1]) for s in sets) and not near(sets[0], sets[1])
+    monkeypatch.setattr(neardup, "PART", 3)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()}
+    assert set(got.values()) == {0} and len(got) == len(texts)
+    monkeypatch.setattr(neardup, "PART", 10_000)
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()} == got
+
+
 def test_toxicity(spark, empty):
     bad = ["idiot", "moron", "scum"]
     texts = [prose(30, 300 + i) + (" " + bad[i % 3] + " you " + bad[(i + 1) % 3] if i % 4 == 0 else "") for i in range(240)] + [None, ""]

@@ -25,7 +25,7 @@ TABLES, LEAST = 10, 4
 WIDE = 4  # words of 64 bits
 #: Wide fingerprints of texts with similarity 0.8 differ in 39 bits in the mean, with a deviation of 6.
 WIDE_DISTANCE = 60
-#: A component of more texts is resolved in parts of so many, whose classes then meet again.
+#: A component of more texts is resolved in parts of so many, which are then compared with each other.
 PART = 4_000
 _SALT = np.random.default_rng(2024).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -149,13 +149,39 @@ def _resolve(similarity: float):
     return run
 
 
+def _across(held: DataFrame, classes: DataFrame, similarity: float, scratch: Scratch) -> DataFrame | None:
+    """(node, cls) links between the classes of components of over PART texts; none if there are no such.
+
+    Every member is kept: those outside a component's largest class meet all of its members, in pairs of
+    parts of PART / 2 texts.  Members of the largest class are one class already.
+    """
+    of = held.select("node", "component").join(classes, "node")
+    counts = of.groupBy("component", "cls").count()
+    most = counts.groupBy("component").agg(F.sum("count").alias("texts"), F.count("*").alias("n"), F.max(F.struct("count", "cls")).alias("top")).filter((F.col("texts") > PART) & (F.col("n") > 1))
+    half = PART / 2
+    most = scratch.keep(most.select("component", F.col("top.cls").alias("top"), F.ceil(F.col("top.count") / half).alias("tops"), F.ceil((F.col("texts") - F.col("top.count")) / half).alias("rests")), "most")
+    if most.isEmpty():
+        return None
+    j = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    inside = F.col("cls") == F.col("top")
+    part = F.pmod(F.xxhash64("node", F.lit("across")), F.when(inside, F.col("tops")).otherwise(F.col("rests")))
+    # Parts of the largest class count from -1 down, those of the others from 0 up.
+    with_top = F.transform(j(F.col("rests")), lambda x: pair(-1 - F.col("part"), x))
+    with_rest = F.concat(F.transform(j(F.col("tops")), lambda x: pair(-1 - x, F.col("part"))), F.transform(F.filter(j(F.col("rests")), lambda x: x != F.col("part")), lambda x: pair(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
+    dealt = held.join(classes, "node").join(most, "component").withColumn("part", part).withColumn("with", F.when(inside, with_top).otherwise(with_rest))
+    pairs = dealt.select("component", "node", "shingles", F.explode("with").alias("w")).select("component", "w.a", "w.b", "node", "shingles")
+    got = pairs.groupBy("component", "a", "b").applyInArrow(_resolve(similarity), "node long, cls long")
+    return scratch.keep(got.filter("node <> cls").distinct(), "across")
+
+
 def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id): the least doc_id of the texts reachable over similarities of ``similarity`` or more.
 
     Words and shingles are as for the fingerprints; texts with the same words are one node, null and empty
     texts have none and are alike.  Candidates are found with probability over 0.99 at the threshold and more
     above it.  Components of candidates of more than PART texts are resolved in parts whose classes meet
-    again by their least members, until no part changes.
+    again by their least members while that shrinks them; then all members are compared across classes.
     """
     scratch = Scratch(spark, "neardup")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -188,6 +214,11 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
         if nxt.count() == todo.count():
             break
         todo, r = nxt, r + 1
+    more = _across(held, classes, similarity, scratch)
+    if more is not None:
+        links = classes.filter("node <> cls").unionByName(more).toDF("u", "v")
+        whole = scratch.keep(components(spark, links), "whole").toDF("cls0", "up")
+        classes = scratch.keep(classes.join(whole, classes.node == whole.cls0, "left").select("node", F.coalesce("up", "node").alias("cls")), "all")
     of = nodes.join(classes, "node", "left").select("digest", F.coalesce("cls", "node").alias("class_id"))
     return digests.join(of, "digest").select("doc_id", "class_id")
 
