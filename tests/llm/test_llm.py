@@ -319,6 +319,16 @@ def test_near_duplicates_across_parts(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()} == got
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Every pair of a text of 8, 12 or 40 words and the same text with a word more is found."""
+    texts = []
+    for k in range(240):
+        t = prose((8, 12, 40)[k % 3], 7000 + k)
+        texts += [t, t + f" more{k}"]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()}
+    assert all(got[i] == i - i % 2 for i in range(len(texts)))
+
+
 def test_toxicity(spark, empty):
     bad = ["idiot", "moron", "scum"]
     texts = [prose(30, 300 + i) + (" " + bad[i % 3] + " you " + bad[(i + 1) % 3] if i % 4 == 0 else "") for i in range(240)] + [None, ""]

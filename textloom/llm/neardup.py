@@ -1,5 +1,7 @@
 """Near-duplicate groups by exact Jaccard similarity of word shingles, with SimHash and Golay keys for candidates.
 
+Texts of few shingles meet exactly: under each shingle of their prefix, the part of the set, common shingles
+last, that must hold one of any near text's.  Texts of more shingles meet by sketches, which can miss a pair.
 Fingerprints of few bits can't bound Jaccard similarity, so a text gets one short fingerprint in each of
 several tables, taken over the least few of its shingle hashes in the table's own order; near copies agree
 on some of them whole.  A key is 23 bits of it as they are and a Golay index of 23 others.  Rows that meet
@@ -25,6 +27,10 @@ TABLES, LEAST = 10, 4
 WIDE = 4  # words of 64 bits
 #: Wide fingerprints of texts with similarity 0.8 differ in 39 bits in the mean, with a deviation of 6.
 WIDE_DISTANCE = 60
+#: Pairs whose smaller set has so many shingles at most are found exactly.
+SMALL = 64
+#: Frequent shingles, ordered last in the prefixes; the others are in hash order.
+HOT = 100_000
 #: A component of more texts is resolved in parts of so many, which are then compared with each other.
 PART = 4_000
 _SALT = np.random.default_rng(2024).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -74,13 +80,108 @@ def _content(width: int):
     return run
 
 
+def _largest(similarity: float) -> int:
+    """Shingles of the largest text that can be near one of SMALL."""
+    return int(SMALL / similarity + 1e-9)
+
+
+def _small_shingles(width: int, similarity: float):
+    """Shingles of the texts of so few words that all of theirs are few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = _largest(similarity) + width - 1
+        for batch in batches:
+            words = (words_of(t.as_py()) for t in batch.column(1))
+            found = [np.unique(shingle_hashes(w, width)) for w in words if 0 < len(w) <= most]
+            h = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["shingle"])
+
+    return run
+
+
+def prefix(shingles: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles, frequent ones last: two sets of ``similarity`` or more have one of them in common."""
+    n = len(shingles)
+    take = n - int(np.ceil(similarity * n - 1e-9)) + 1
+    late = np.zeros(n, np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, shingles), len(hot) - 1)
+        late = np.where(hot[at] == shingles, rank[at], 0)
+    return shingles[np.lexsort((shingles, late))[:take]]
+
+
+def _prefixed(width: int, similarity: float, order):
+    """(key, node, folds) of small texts; the folds are 16 bits of each shingle, equal for equal shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, rank = order.value
+        for batch in batches:
+            keys, nodes, folds = [], [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                s = shingle_set(text.as_py(), width)
+                if 0 < len(s) <= _largest(similarity):
+                    k = prefix(s, similarity, hot, rank)
+                    keys.append(k)
+                    nodes.append(np.full(len(k), node, np.int64))
+                    folds += [np.sort(s.astype(np.uint16)).tobytes()] * len(k)
+            k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            n = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(folds, pa.binary())], names=["key", "node", "wide"])
+
+    return run
+
+
+def _near_sets(sets: list[np.ndarray], similarity: float):
+    """Which of the items left can be near one: equal shingles have equal folds, so none is missed."""
+    size = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), size)
+
+    def near(at: int, left: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(sets[at], flat), size[at] - 1)
+        common = np.bincount(owner[sets[at][place] == flat], minlength=len(sets))[left]
+        return common >= similarity * (size[at] + size[left] - common) - 1e-9
+
+    return near
+
+
+def _link_small(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple[np.ndarray, ...] | None = None
+
+        def links(key: np.ndarray, node: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            out: set[tuple[int, int]] = set()
+            for k in np.flatnonzero(np.diff(cuts) > 1):
+                a, b = cuts[k], cuts[k + 1]
+                name = node[a:b]
+                sets = [np.frombuffer(x, np.uint16) for x in raw[a:b]]
+                out |= {(int(name[x]), int(name[y])) for x, y in forest(b - a, _near_sets(sets, similarity))}
+            u, v = (np.array(c, np.int64) for c in (zip(*sorted(out)) if out else ((), ())))
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), object))
+            key, node, raw = now if rest is None else (np.concatenate(x) for x in zip(rest, now))
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                yield links(key[:last], node[:last], raw[:last])
+            rest = (key[last:], node[last:], raw[last:])
+        if rest is not None:
+            yield links(*rest)
+
+    return run
+
+
 def _keyed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, wides = [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 s = shingle_set(text.as_py(), width)
-                if len(s):
+                if len(s) > SMALL:
                     k, w = sketch(s)
                     keys.append(k)
                     nodes.append(np.full(len(k), node, np.int64))
@@ -132,17 +233,8 @@ def _resolve(similarity: float):
         node = node[order]
         raw = part.column("shingles").to_pylist()
         sets = [np.frombuffer(raw[i], np.uint64) for i in order.tolist()]
-        size = np.array([len(s) for s in sets])
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
-
-        def near(at: int, left: np.ndarray) -> np.ndarray:
-            place = np.minimum(np.searchsorted(sets[at], flat), size[at] - 1)
-            common = np.bincount(owner[sets[at][place] == flat], minlength=len(sets))[left]
-            return common >= similarity * (size[at] + size[left] - common) - 1e-9
-
         cls = np.arange(len(sets))
-        for x, y in forest(len(sets), near):
+        for x, y in forest(len(sets), _near_sets(sets, similarity)):
             cls[y] = cls[x]
         return pa.table({"node": pa.array(node), "cls": pa.array(node[cls])})
 
@@ -179,8 +271,8 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     """(doc_id, class_id): the least doc_id of the texts reachable over similarities of ``similarity`` or more.
 
     Words and shingles are as for the fingerprints; texts with the same words are one node, null and empty
-    texts have none and are alike.  Candidates are found with probability over 0.99 at the threshold and more
-    above it.  Components of candidates of more than PART texts are resolved in parts whose classes meet
+    texts have none and are alike.  Pairs of which one has SMALL shingles or fewer are all found; of the others,
+    at the threshold, 99.5 % share a key, and more above it.  Components of candidates of more than PART texts are resolved in parts whose classes meet
     again by their least members while that shrinks them; then all members are compared across classes.
     """
     scratch = Scratch(spark, "neardup")
@@ -191,7 +283,15 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     texts = narrow.join(leads, narrow.doc_id == leads.node).select("node", "text").dropDuplicates(["node"])
     keyed = texts.mapInArrow(_keyed(width), "key long, node long, wide binary")
     met = keyed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
-    found = scratch.keep(components(spark, met.mapInArrow(_link, "u long, v long").distinct()), "candidates")
+    often = texts.mapInArrow(_small_shingles(width, similarity), "shingle long").groupBy("shingle").count().filter("count > 8").orderBy(F.desc("count"), "shingle").limit(HOT)
+    seen = often.toArrow()
+    hot, rank = (seen.column(c).to_numpy() for c in ("shingle", "count"))
+    hot = hot.view(np.uint64)
+    order = spark.sparkContext.broadcast((hot[np.argsort(hot)], rank[np.argsort(hot)]))
+    short = texts.mapInArrow(_prefixed(width, similarity, order), "key long, node long, wide binary")
+    near = short.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    both = met.mapInArrow(_link, "u long, v long").unionByName(near.mapInArrow(_link_small(similarity), "u long, v long"))
+    found = scratch.keep(components(spark, both.distinct()), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
