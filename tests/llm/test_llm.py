@@ -208,6 +208,29 @@ def test_decontamination(spark, empty):
     assert decontaminate.overlaps(empty, bench, spark).count() == 0 and decontaminate.overlaps(table(spark, texts), bench.limit(0), spark).count() == 0
 
 
+def test_decontamination_misses_nothing(spark):
+    """Items of 6 to 20 words with substitutions, and their pieces, against a scan of every diagonal."""
+    r = np.random.default_rng(71)
+    items = {n: [f"i{n}w{i}" for i in range(n)] for n in range(6, 21)}
+    items[50] = [f"i50w{i}" for i in range(50)]
+    texts, want = [], set()
+    for n, item in items.items():
+        for k in range(60):
+            drop = set(r.choice(n, r.integers(0, n // 4 + 1), replace=False).tolist()) if k % 3 else set()
+            a, b = (0, n) if k % 2 else sorted(r.choice(n + 1, 2, replace=False).tolist())
+            doc = [f"x{k}"] * int(r.integers(0, 3)) + [f"new{i}" if i in drop else item[i] for i in range(a, b)] + [f"y{k}"] * int(r.integers(0, 3))
+            h, w = (decontaminate.word_hashes(" ".join(x).encode())[0] for x in (doc, item))
+            for g in range(1 - n, len(doc)):
+                lo, hi = max(g, 0), min(g + n, len(doc))
+                start, end, matched = decontaminate.best_overlap(h[lo:hi] == w[lo - g : hi - g])
+                if decontaminate.contaminated(matched, end - start, n):
+                    want.add((len(texts), n))
+            texts.append(" ".join(doc))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.overlaps(table(spark, texts), bench, spark).collect()}
+    assert got == want and len(want) > 300
+
+
 def test_media_round_trip(spark, docs):
     payloads = [media.padded(t)[0] for t in [*TEXTS, "é\0z" * 70_000, "\x7f" * 576]]
     blobs = media.encode_many(payloads)

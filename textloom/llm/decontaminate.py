@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,19 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import table
 
-#: Fixed masks of 8 words out of 12.
-MASKS = ("111011010011", "110101100111", "101100111011", "111100001111")
-SPAN = 12
+
+
+def _masks(weight: int, span: int) -> tuple[str, ...]:
+    """All masks of ``weight`` words in a window of ``span`` that begin and end with one."""
+    inner = ((n, c) for n in range(weight, span + 1) for c in combinations(range(1, n - 1), weight - 2))
+    return tuple("1" + "".join("1" if i in c else "0" for i in range(1, n - 1)) + "1" for n, c in inner)
+
+
+#: Any 6 of 8 words.  A best segment that counts has such a window: of 16 words on, as 6 of 8 are three quarters; the
+#: shorter ones have up to 3 unequal words, which can't be in every window without splitting the segment.
+MASKS = _masks(6, 8)
+#: An item of 6 words needs any 5.
+SHORT = _masks(5, 6)
 MIN_MATCHED, MIN_IDENTITY, MISMATCH = 10, 0.75, 2
 #: Benchmark hashes held by a task at once; a larger benchmark is worked through in blocks of items.
 BLOCK_HASHES = 2_000_000
@@ -76,10 +87,8 @@ def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_for(n: int) -> tuple[str, ...]:
-    """The masks of an item of n words: an item shorter than the span is taken whole, from 6 words on also without any one inner word."""
-    if n >= SPAN:
-        return MASKS
-    return ("1" * n, *("1" * i + "0" + "1" * (n - i - 1) for i in range(1, n - 1) if n >= 6))
+    """The masks of an item of n words, of which each overlap that counts has one; an item of under 6 words is taken whole."""
+    return MASKS if n > 6 else SHORT if n == 6 else ("1" * n,)
 
 
 def best_overlap(same: np.ndarray) -> tuple[int, int, int]:
