@@ -26,7 +26,7 @@ def test_hash_split_matches_definition(spark):
     texts = [f"document {i}\n" * (i % 4 + 1) for i in range(200)]
     got = {r.doc_id: r.split for r in splits.hash_split(docs(spark, texts), 1337, 0.1).select("doc_id", "split").collect()}
     for i, side in got.items():
-        h = hashlib.sha256(b"locallm-split\0" + b"1337\0" + texts[i].strip().encode()).digest()
+        h = hashlib.sha256(T.HOLDOUT_SALT.encode() + b"\0" + b"1337\0" + texts[i].strip().encode()).digest()
         assert side == ("val" if int.from_bytes(h[:8], "big") < 0.1 * 2**64 else "train")
 
 

@@ -16,8 +16,8 @@ JAVA_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 RE2_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
 
 
-#: The salts of the holdout digest and of the tool-use digest.
-HOLDOUT_SALT, TOOL_SALT = "locallm-split", "dawnr-chat-tool"
+#: Default salts of the holdout digest and of the tool-use digest; a corpus split elsewhere passes its own.
+HOLDOUT_SALT, TOOL_SALT = "holdout", "tool-use"
 
 
 #: What the Unicode name of an accented letter holds.
