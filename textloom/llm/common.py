@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only an unset one gets a folder of ours."""
+    """The shared folder named by ``spark.checkpoint.dir``; only a local session without one gets a folder of ours."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -51,5 +53,10 @@ def id_crc(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def numbered(docs: DataFrame, scratch: Scratch, name: str = "rows", column: str = "row") -> DataFrame:
+    """The rows with a number of their own, written so that it stays the same whatever is lost: ids may be null or repeat."""
+    return scratch.keep(docs.withColumn(column, F.monotonically_increasing_id()), name)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

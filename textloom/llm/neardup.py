@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, shuffle_parts
-from textloom.llm.components import components
+from textloom.llm.components import buckets, components, dealt
 from textloom.llm.simhash import forest, golay_indices, shingle_hashes, words_of
 
 TABLES, LEAST = 10, 4
@@ -31,8 +31,8 @@ WIDE_DISTANCE = 60
 SMALL = 64
 #: Frequent shingles, ordered last in the prefixes; the others are in hash order.
 HOT = 100_000
-#: A component of more texts is resolved in parts of so many, which are then compared with each other.
-PART = 4_000
+#: A component of more texts, or of more bytes of shingles, is resolved in parts, which are then compared with each other.
+PART, PART_BYTES = 4_000, 96 << 20
 _SALT = np.random.default_rng(2024).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
 
@@ -145,32 +145,21 @@ def _near_sets(sets: list[np.ndarray], similarity: float):
     return near
 
 
+def _links(out: set[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = (np.array(c, np.int64) for c in (zip(*sorted(out)) if out else ((), ())))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def _link_small(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: tuple[np.ndarray, ...] | None = None
-
-        def links(key: np.ndarray, node: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for cuts, node, raw in buckets(batches, (1, 2), (0, 3, 4)):
             out: set[tuple[int, int]] = set()
             for k in np.flatnonzero(np.diff(cuts) > 1):
                 a, b = cuts[k], cuts[k + 1]
                 name = node[a:b]
                 sets = [np.frombuffer(x, np.uint16) for x in raw[a:b]]
                 out |= {(int(name[x]), int(name[y])) for x, y in forest(b - a, _near_sets(sets, similarity))}
-            u, v = (np.array(c, np.int64) for c in (zip(*sorted(out)) if out else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = (batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.array(batch.column(2).to_pylist(), object))
-            key, node, raw = now if rest is None else (np.concatenate(x) for x in zip(rest, now))
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield links(key[:last], node[:last], raw[:last])
-            rest = (key[last:], node[last:], raw[last:])
-        if rest is not None:
-            yield links(*rest)
+            yield _links(out)
 
     return run
 
@@ -193,35 +182,15 @@ def _keyed(width: int):
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rest: tuple[np.ndarray, ...] | None = None
-
-    def links(key: np.ndarray, node: np.ndarray, wide: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        out: list[tuple[int, int]] = []
+    for cuts, node, raw in buckets(batches, (1, 2), (0, 3, 4)):
+        wide = np.frombuffer(b"".join(raw), np.uint64).reshape(-1, WIDE)
         two = cuts[:-1][np.diff(cuts) == 2]
         near = np.bitwise_count(wide[two] ^ wide[two + 1]).sum(axis=1) <= WIDE_DISTANCE
-        out += zip(node[two[near]].tolist(), node[two[near] + 1].tolist())
+        out = set(zip(node[two[near]].tolist(), node[two[near] + 1].tolist()))
         for k in np.flatnonzero(np.diff(cuts) > 2):
-            a, b = cuts[k], cuts[k + 1]
-            bits, name = wide[a:b], node[a:b]
-            out += [(int(name[x]), int(name[y])) for x, y in forest(b - a, lambda i, left, bits=bits: np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1) <= WIDE_DISTANCE)]
-        out = sorted(set(out))
-        u, v = (np.array(c, np.int64) for c in (zip(*out) if out else ((), ())))
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE)
-        if rest is not None:
-            key, node, wide = (np.concatenate(x) for x in zip(rest, (key, node, wide)))
-        last = int(np.searchsorted(key, key[-1]))
-        if last:
-            yield links(key[:last], node[:last], wide[:last])
-        rest = (key[last:], node[last:], wide[last:])
-    if rest is not None:
-        yield links(*rest)
+            bits, name = wide[cuts[k] : cuts[k + 1]], node[cuts[k] : cuts[k + 1]]
+            out |= {(int(name[x]), int(name[y])) for x, y in forest(len(bits), lambda i, left, bits=bits: np.bitwise_count(bits[left] ^ bits[i]).sum(axis=1) <= WIDE_DISTANCE)}
+        yield _links(out)
 
 
 def _resolve(similarity: float):
@@ -249,8 +218,11 @@ def _across(held: DataFrame, classes: DataFrame, similarity: float, scratch: Scr
     """
     of = held.select("node", "component").join(classes, "node")
     counts = of.groupBy("component", "cls").count()
-    most = counts.groupBy("component").agg(F.sum("count").alias("texts"), F.count("*").alias("n"), F.max(F.struct("count", "cls")).alias("top")).filter((F.col("texts") > PART) & (F.col("n") > 1))
-    half = PART / 2
+    volume = held.groupBy("component").agg(F.sum(F.octet_length("shingles")).alias("bytes"))
+    most = counts.groupBy("component").agg(F.sum("count").alias("texts"), F.count("*").alias("n"), F.max(F.struct("count", "cls")).alias("top")).join(volume, "component")
+    most = most.filter(((F.col("texts") > PART) | (F.col("bytes") > PART_BYTES)) & (F.col("n") > 1))
+    # texts in half a part: fewer where they are long
+    half = F.greatest(F.lit(1.0), F.least(F.lit(PART / 2), F.col("texts") * (PART_BYTES / 2) / F.col("bytes")))
     most = scratch.keep(most.select("component", F.col("top.cls").alias("top"), F.ceil(F.col("top.count") / half).alias("tops"), F.ceil((F.col("texts") - F.col("top.count")) / half).alias("rests")), "most")
     if most.isEmpty():
         return None
@@ -281,15 +253,15 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     nodes = digests.groupBy("digest").agg(F.min("doc_id").alias("node"))
     leads = scratch.keep(nodes.select("node"), "leads")
     texts = narrow.join(leads, narrow.doc_id == leads.node).select("node", "text").dropDuplicates(["node"])
-    keyed = texts.mapInArrow(_keyed(width), "key long, node long, wide binary")
-    met = keyed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    by_bucket = lambda df: dealt(df, spark).repartition(shuffle_parts(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b")
+    met = by_bucket(scratch.keep(texts.mapInArrow(_keyed(width), "key long, node long, wide binary"), "keyed"))
     often = texts.mapInArrow(_small_shingles(width, similarity), "shingle long").groupBy("shingle").count().filter("count > 8").orderBy(F.desc("count"), "shingle").limit(HOT)
     seen = often.toArrow()
     hot, rank = (seen.column(c).to_numpy() for c in ("shingle", "count"))
     hot = hot.view(np.uint64)
     order = spark.sparkContext.broadcast((hot[np.argsort(hot)], rank[np.argsort(hot)]))
     short = texts.mapInArrow(_prefixed(width, similarity, order), "key long, node long, wide binary")
-    near = short.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    near = by_bucket(scratch.keep(short, "short"))
     both = met.mapInArrow(_link, "u long, v long").unionByName(near.mapInArrow(_link_small(similarity), "u long, v long"))
     found = scratch.keep(components(spark, both.distinct()), "candidates")
 
@@ -302,11 +274,12 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     held = scratch.keep(wanted.mapInArrow(sets, "node long, component long, shingles binary"), "sets")
     classes, todo, r = None, held, 0
     while True:
-        sizes = todo.groupBy("component").agg(F.ceil(F.count("*") / PART).alias("parts"))
+        parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(F.octet_length("shingles")) / PART_BYTES))
+        sizes = todo.groupBy("component").agg(parts.alias("parts"))
         dealt = todo.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(r)), F.col("parts")))
         got = scratch.keep(dealt.groupBy("component", "part").applyInArrow(_resolve(similarity), "node long, cls long"), f"classes{r}")
         classes = got if classes is None else scratch.keep(classes.join(got.toDF("cls", "up"), "cls", "left").select("node", F.coalesce("up", "cls").alias("cls")), f"merged{r}")
-        large = todo.groupBy("component").count().filter(F.col("count") > PART).select("component")
+        large = scratch.keep(sizes.filter("parts > 1").select("component"), f"large{r}")
         if r >= 20 or large.isEmpty():
             break
         reps = got.select(F.col("cls").alias("node")).distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, shuffle_parts, table
-from textloom.llm.components import components
+from textloom.llm.components import buckets, components, dealt
 
 SEED = 42
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
@@ -166,34 +166,17 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
 
 def _link(distance: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def links(key: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for cuts, node, fp in buckets(batches, (1, 2), (0, 3, 4)):
+            fp = fp.view(np.uint64)
             out: list[tuple[int, int]] = []
             two = cuts[:-1][np.diff(cuts) == 2]
             near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance
             out += zip(node[two[near]].tolist(), node[two[near] + 1].tolist())
             for k in np.flatnonzero(np.diff(cuts) > 2):
-                a, b = cuts[k], cuts[k + 1]
-                bits, name = fp[a:b], node[a:b]
-                out += [(int(name[x]), int(name[y])) for x, y in forest(b - a, lambda i, left, bits=bits: np.bitwise_count(bits[left] ^ bits[i]) <= distance)]
+                bits, name = fp[cuts[k] : cuts[k + 1]], node[cuts[k] : cuts[k + 1]]
+                out += [(int(name[x]), int(name[y])) for x, y in forest(len(bits), lambda i, left, bits=bits: np.bitwise_count(bits[left] ^ bits[i]) <= distance)]
             u, v = (np.array(c, np.int64) for c in (zip(*out) if out else ((), ())))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        for batch in batches:
-            key, node, fp = (batch.column(i).to_numpy() for i in range(3))
-            fp = fp.view(np.uint64)
-            if rest is not None:
-                key, node, fp = (np.concatenate(x) for x in zip(rest, (key, node, fp)))
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))
-            if last:
-                yield links(key[:last], node[:last], fp[:last])
-            rest = (key[last:], node[last:], fp[last:])
-        if rest is not None and len(rest[0]):
-            yield links(*rest)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return link
 
@@ -207,7 +190,7 @@ def fuzzy_links(prints: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("the keys are complete up to 2 bits")
     spark = prints.sparkSession
     keyed = prints.select("node", "fp").mapInArrow(_emit_keys, "key long, node long, fp long")
-    met = keyed.repartition(shuffle_parts(spark), "key").sortWithinPartitions("key")
+    met = dealt(keyed, spark).repartition(shuffle_parts(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b")
     return met.mapInArrow(_link(distance), "u long, v long").distinct()
 
 
@@ -219,8 +202,9 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def simhash_components(docs: DataFrame, spark: SparkSession, width: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): the least doc_id reachable over links of fingerprints.
 
-    Empty and null texts have fingerprint zero and link like any other; repeated rows give repeated rows;
-    an empty table gives none.  Equal fingerprints are one node, so copies are never expanded into pairs.
+    Empty and null texts have fingerprint zero and link like any other; texts of any length are taken whole;
+    repeated rows give repeated rows; a null id gives a row of its own but is no one's component_id unless its
+    fingerprint links to no other id; an empty table gives none.  Equal fingerprints are one node, so copies are never expanded into pairs.
     """
     scratch = Scratch(spark, "simhash")
     prints = scratch.keep(fingerprints(docs, width), "prints")
