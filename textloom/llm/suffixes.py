@@ -1,19 +1,22 @@
-"""Removal of long repeated byte strings by a distributed difference-cover suffix array.
+"""Removal of long repeated byte strings by difference-cover suffix arrays.
 
 Sorting every suffix of a large corpus would move many times its size, and all but a few suffixes cannot
 share ``length`` bytes with another.  So the text is first reduced without loss.  Each window of ``length``
 bytes is owned by the least-hash gram (the core) inside it; equal windows have equal cores at equal places.
-Cores that occur once rule their windows out; windows of blocks that occur whole more than once are all
-repeated.  What is left are blocks that share a core and differ around it, at the ends of repeated passages.
-Their suffixes are sorted by difference cover: the triples of the sampled places (1 and 2 modulo 3) are
-sorted and named, names are recursed on until they span ``length`` bytes, the remaining suffixes are merged
-in, and prefixes of neighbours are compared byte by byte.  Blocks are dealt to tasks by their core, so equal
-windows meet; a core with very many blocks is dealt further by the hash of each window.
+Cores that occur once rule their windows out: equal bytes have equal hashes, so the core hash decides on
+nothing else.  Copies of a block are recognised by a 128-bit BLAKE2 digest of its bytes under a key drawn for the
+run, and held once.  What is left are blocks that share a core and differ around it, at the ends of repeated
+passages.  A core's bytes are named, equal bytes alike, and stand as one symbol in their blocks.  The blocks'
+suffixes are sorted by difference cover: the triples of the sampled places (1 and 2 modulo 3) are sorted and
+named, names are recursed on until they span a window, the remaining suffixes are merged in, and prefixes of
+neighbours are compared symbol by symbol.  Blocks are dealt to tasks by their core, so equal windows meet; a core
+with very many blocks is dealt further by the hash of each window.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm.common import Scratch, shuffle_parts, table
+from textloom.llm.common import Scratch, numbered, shuffle_parts, table
 
 LENGTH = 400
 CORE = 288
 #: Blocks of one core that a task may hold; more are dealt by window.
 GROUP = 2_000
 #: Windows looked at in one piece of a text, and bytes sorted in one suffix array.
-PIECE, BATCH = 1 << 22, 3_000_000
+PIECE, BATCH = 1 << 22, 6_000_000
 _R = np.uint64(0x9E3779B97F4A7C15)
 _A, _B = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -54,19 +57,20 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
-def anchors(raw: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
-    """(core hash, block hash, core place, first window, last window) of each run of windows with one core."""
+def anchors(text: bytes, key: bytes, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, ...]:
+    """(core hash, two halves of the block's digest, core place, first window, last window) of each run of windows with one core."""
+    raw = np.frombuffer(text, np.uint8)
     n = len(raw) - length + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(5)))
     out = []
     for a in range(0, n, PIECE):
         part = raw[a : min(n, a + PIECE) + length - 1]
         h = gram_hashes(part, core)
         width = length - core + 1
         # the place in the low bits makes the leftmost of equal hashes least
-        key = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
-        least, span = key, 1
+        rank = (h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64)
+        least, span = rank, 1
         while span * 2 <= width:
             least, span = np.minimum(least[:-span], least[span:]), span * 2
         m = len(part) - length + 1
@@ -74,37 +78,38 @@ def anchors(raw: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np
         at = (least & np.uint64(0xFFFFFF)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
         last = np.concatenate((first[1:], [m])) - 1
-        # a block's hash: of its first and of its last window, its size and where its core is
-        w = gram_hashes(part, length)
-        block = (w[first] * _R + w[last]) * _R + ((last - first) * 65536 + at[first] - first).astype(np.uint64)
-        block ^= block >> np.uint64(31)
-        out.append((h[at[first]], block * _A, at[first] + a, first + a, last + a))
+        blake = hashlib.blake2b
+        digest = b"".join([blake(text[x:y], digest_size=16, key=key).digest() for x, y in zip((first + a).tolist(), (last + a + length).tolist())])
+        halves = np.frombuffer(digest, np.int64).reshape(-1, 2)
+        out.append((h[at[first]], halves[:, 0], halves[:, 1], at[first] + a, first + a, last + a))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-ANCHORS = "core long, block long, doc_id long, place long, first long, last long"
+ANCHORS = "core long, hi long, lo long, place long, first long, last long, row long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in ANCHORS.split(", ")]
-    for batch in batches:
-        rows, held = [], 0
-
-        def out() -> pa.RecordBatch:
-            c = [np.concatenate(x) for x in zip(*rows)]
-            cols = (c[0].view(np.int64), c[1].view(np.int64), c[5], c[2], c[3], c[4])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=names)
+def _anchor_rows(key: bytes, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in ANCHORS.split(", ")]
+        for batch in batches:
+            rows, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                c = [np.concatenate(x) for x in zip(*rows)]
+                return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in c], names=names)
+
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = anchors((text.as_py() or "").encode(), key, length)
+                if len(found[0]):
+                    rows.append((*found, np.full(len(found[0]), row, np.int64)))
+                    held += len(found[0])
+                    if held > 200_000:
+                        yield out()
+                        rows, held = [], 0
+            if rows:
+                yield out()
 
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            found = anchors(np.frombuffer((text.as_py() or "").encode(), np.uint8))
-            if len(found[0]):
-                rows.append((*found, np.full(len(found[0]), doc, np.int64)))
-                held += len(found[0])
-                if held > 200_000:
-                    yield out()
-                    rows, held = [], 0
-        if rows:
-            yield out()
+    return run
 
 
 def suffix_order(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -176,20 +181,32 @@ def _rank_pairs(t: np.ndarray, rank: np.ndarray, at: np.ndarray, ahead: int) ->
     return _rank(t[at], t[at + 1], rank[at + 2])
 
 
-def repeated_starts(blocks: list[np.ndarray], length: int = LENGTH) -> list[np.ndarray]:
-    """For each block, whether the ``length`` bytes from each place on also start elsewhere in the blocks."""
-    text = np.concatenate([np.concatenate((b.astype(np.int64) + 2, [1])) for b in blocks])
-    size = np.array([len(b) for b in blocks])
+def repeated_starts(blocks: list[tuple[bytes, int]], length: int = LENGTH, core: int = CORE) -> list[np.ndarray]:
+    """For each block (its bytes, the place of its core), whether the ``length`` bytes from each place on also start elsewhere in the blocks.
+
+    Only starts whose window holds the block's core are asked for.  Cores of equal bytes are one symbol.
+    """
+    names: dict[bytes, int] = {}
+    texts = []
+    for raw, at in blocks:
+        x = np.frombuffer(raw, np.uint8).astype(np.int64) + 2
+        name = 258 + names.setdefault(raw[at : at + core], len(names))
+        texts.append(np.concatenate((x[:at], [name], x[at + core :], [1])))
+    span = length - core + 1
+    text = np.concatenate(texts)
+    size = np.array([len(x) - 1 for x in texts])
     begin = np.cumsum(size + 1) - size - 1
-    order = suffix_order(text, length)
+    order = suffix_order(text, span)
+    wide = np.uint64(max(9, int(text.max()).bit_length()))
+    pack = 64 // int(wide)
     raw = np.concatenate((text, np.zeros(8, np.int64))).astype(np.uint64)
-    word = np.zeros(len(text), np.uint64)  # 7 symbols of 9 bits
-    for k in range(7):
-        word = (word << np.uint64(9)) | raw[k : k + len(text)]
-    room = np.repeat(begin + size - length, size + 1) >= np.arange(len(text))
-    order = order[room[order]]  # only places with enough bytes left in their block
+    word = np.zeros(len(text), np.uint64)
+    for k in range(pack):
+        word = (word << wide) | raw[k : k + len(text)]
+    room = np.repeat(begin + size - span, size + 1) >= np.arange(len(text))
+    order = order[room[order]]  # only places with enough symbols left in their block
     same = np.ones(max(len(order) - 1, 0), bool)
-    for k in [*range(0, length - 7, 7), length - 7]:
+    for k in [*range(0, max(span - pack, 1), pack), max(span - pack, 0)]:
         live = np.flatnonzero(same)
         if not len(live):
             break
@@ -200,7 +217,7 @@ def repeated_starts(blocks: list[np.ndarray], length: int = LENGTH) -> list[np.n
     return [hit[a : a + n] for a, n in zip(begin.tolist(), size.tolist())]
 
 
-BLOCKS = "core long, salt int, doc_id long, first long, raw binary"
+BLOCKS = "core long, salt int, row long, first long, at int, raw binary"
 
 
 def _cut(length: int):
@@ -208,20 +225,26 @@ def _cut(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in BLOCKS.split(", ")]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], names=names)
+
         for batch in batches:
-            rows = []
-            for doc, text, items in zip(*(batch.column(i) for i in range(3))):
+            rows, held = [], 0
+            for row, text, items in zip(*(batch.column(i) for i in range(3))):
                 raw = (text.as_py() or "").encode()
                 for x in items.as_py():
                     part = raw[x["first"] : x["last"] + length]
-                    if x["n"] <= GROUP:
-                        rows.append((x["core"], 0, doc.as_py(), x["first"], part))
-                        continue
-                    salts = gram_hashes(np.frombuffer(part, np.uint8), length) % np.uint64(-(-x["n"] // GROUP))
-                    rows += [(x["core"], int(s), doc.as_py(), x["first"], part) for s in np.unique(salts)]
-            cols = zip(*rows) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                    salts = [0]
+                    if x["n"] > GROUP:
+                        salts = np.unique(gram_hashes(np.frombuffer(part, np.uint8), length) % np.uint64(-(-x["n"] // GROUP))).tolist()
+                    rows += [(x["core"], s, row.as_py(), x["first"], x["place"] - x["first"], part) for s in salts]
+                    held += len(part) * len(salts)
+                    if held > 16_000_000:
+                        yield out(rows)
+                        rows, held = [], 0
+            yield out(rows)
 
     return run
 
@@ -234,48 +257,48 @@ def _sort_blocks(length: int):
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             # a block of a large core can be here under several salts: once is enough, and twice would repeat itself
             rows = list({(r[2], r[3]): r for r in rows}.values())
-            found = repeated_starts([np.frombuffer(r[4], np.uint8) for r in rows], length)
+            found = repeated_starts([(r[5], r[4]) for r in rows], length)
             out = []
             for r, hit in zip(rows, found):
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 out += [(r[2], r[3] + int(a), r[3] + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
             cols = zip(*out) if out else [()] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(6))):
                 if size > BATCH and row[:2] != held[-1][:2]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield flush(held)
 
     return run
 
 
-def repeats(docs: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataFrame:
-    """(doc_id, a, b): byte ranges of each text that lie under repeated strings of ``length`` bytes; ranges may overlap."""
+def repeats(rows: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataFrame:
+    """(row, a, b): byte ranges of each text of rows (row, text) that lie under repeated strings of ``length`` bytes; ranges may overlap."""
     scratch = Scratch(spark, "suffixes")
-    rows = scratch.keep(docs.mapInArrow(_anchor_rows, ANCHORS), "anchors")
+    found = scratch.keep(rows.select("row", "text").mapInArrow(_anchor_rows(os.urandom(16), length), ANCHORS), "anchors")
     # read from a table, so that the join deals its rows anew and a common core's can be split
-    cores = scratch.keep(rows.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "cores")
-    shared = scratch.keep(rows.join(cores, "core", "left_semi"), "shared")
+    cores = scratch.keep(found.groupBy("core").agg(F.count("*").alias("c")).filter("c > 1").select("core"), "cores")
+    shared = scratch.keep(found.join(cores, "core", "left_semi"), "shared")
     scratch.drop("anchors")
     scratch.drop("cores")
-    item = F.struct("doc_id", "first", "last")
-    blocks = scratch.keep(shared.groupBy("core", "block").agg(F.count("*").alias("c"), F.min(item).alias("x")), "blocks")
-    whole = shared.join(blocks.filter("c > 1").select("core", "block"), ["core", "block"], "left_semi").select("doc_id", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    item = F.struct("row", "first", "last", "place")
+    blocks = scratch.keep(shared.groupBy("core", "hi", "lo").agg(F.count("*").alias("c"), F.min(item).alias("x")), "blocks")
+    copied = scratch.keep(blocks.filter("c > 1").select("core", "hi", "lo"), "copied")
+    whole = shared.join(copied, ["core", "hi", "lo"], "left_semi").select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     # blocks that occur once, and one of each other block of their cores to compare them with
-    solo = blocks.filter("c = 1").groupBy("core").agg(F.count("*").alias("s"))
-    n = blocks.groupBy("core").agg(F.count("*").alias("n"))
-    mixed = scratch.keep(solo.join(n, "core").filter("n > 1").select("core", "n"), "mixed")
+    mixed = blocks.groupBy("core").agg(F.count_if(F.col("c") == 1).alias("s"), F.count("*").alias("n")).filter("s > 0 and n > 1")
+    mixed = scratch.keep(mixed.select("core", "n"), "mixed")
     open_ = blocks.join(mixed, "core").select("core", "n", "x.*")
-    items = open_.groupBy("doc_id").agg(F.collect_list(F.struct("core", "n", "first", "last")).alias("items"))  # of one document
-    cut = docs.join(items, "doc_id").select("doc_id", "text", "items").mapInArrow(_cut(length), BLOCKS)
+    items = open_.groupBy("row").agg(F.collect_list(F.struct("core", "n", "first", "last", "place")).alias("items"))  # of one document
+    cut = rows.join(items, "row").select("row", "text", "items").mapInArrow(_cut(length), BLOCKS)
     met = cut.repartition(shuffle_parts(spark), "core", "salt").sortWithinPartitions("core", "salt")
-    edges = met.mapInArrow(_sort_blocks(length), "doc_id long, a long, b long")
+    edges = met.mapInArrow(_sort_blocks(length), "row long, a long, b long")
     return scratch.keep(whole.unionByName(edges), "ranges")
 
 
@@ -309,12 +332,12 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataFrame:
     """Bytes, removed bytes, removed runs and the digest of what is kept, of every text.
 
-    Null counts as empty; texts shorter than ``length`` keep all.  doc_id has to be unique.  Other columns
-    are not read; an empty table gives no rows.
+    Null counts as empty; texts shorter than ``length`` keep all.  Each row is a text of its own, so ids may be null
+    or repeat and a repeated row is a copy.  Other columns are not read; an empty table gives no rows.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = repeats(narrow, spark, length).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # of one document
-    return narrow.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_remove, OUT)
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), Scratch(spark, "texts"))
+    ranges = repeats(rows, spark, length).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # of one document
+    return rows.join(ranges, "row", "left").select("doc_id", "text", "ranges").mapInArrow(_remove, OUT)
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
