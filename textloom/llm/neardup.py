@@ -233,8 +233,8 @@ def _across(held: DataFrame, classes: DataFrame, similarity: float, scratch: Scr
     # Parts of the largest class count from -1 down, those of the others from 0 up.
     with_top = F.transform(j(F.col("rests")), lambda x: pair(-1 - F.col("part"), x))
     with_rest = F.concat(F.transform(j(F.col("tops")), lambda x: pair(-1 - x, F.col("part"))), F.transform(F.filter(j(F.col("rests")), lambda x: x != F.col("part")), lambda x: pair(F.least(x, F.col("part")), F.greatest(x, F.col("part")))))
-    dealt = held.join(classes, "node").join(most, "component").withColumn("part", part).withColumn("with", F.when(inside, with_top).otherwise(with_rest))
-    pairs = dealt.select("component", "node", "shingles", F.explode("with").alias("w")).select("component", "w.a", "w.b", "node", "shingles")
+    spread = held.join(classes, "node").join(most, "component").withColumn("part", part).withColumn("with", F.when(inside, with_top).otherwise(with_rest))
+    pairs = spread.select("component", "node", "shingles", F.explode("with").alias("w")).select("component", "w.a", "w.b", "node", "shingles")
     got = pairs.groupBy("component", "a", "b").applyInArrow(_resolve(similarity), "node long, cls long")
     return scratch.keep(got.filter("node <> cls").distinct(), "across")
 
@@ -276,8 +276,8 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     while True:
         parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(F.octet_length("shingles")) / PART_BYTES))
         sizes = todo.groupBy("component").agg(parts.alias("parts"))
-        dealt = todo.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(r)), F.col("parts")))
-        got = scratch.keep(dealt.groupBy("component", "part").applyInArrow(_resolve(similarity), "node long, cls long"), f"classes{r}")
+        parted = todo.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node", F.lit(r)), F.col("parts")))
+        got = scratch.keep(parted.groupBy("component", "part").applyInArrow(_resolve(similarity), "node long, cls long"), f"classes{r}")
         classes = got if classes is None else scratch.keep(classes.join(got.toDF("cls", "up"), "cls", "left").select("node", F.coalesce("up", "cls").alias("cls")), f"merged{r}")
         large = scratch.keep(sizes.filter("parts > 1").select("component"), f"large{r}")
         if r >= 20 or large.isEmpty():
@@ -297,6 +297,10 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group, with its columns as they are."""
-    gone = near_duplicate_classes(docs, spark).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document of least id of each near-duplicate group, with its columns as they are.
+
+    Rows without an id are kept; rows that repeat an id share its fate.
+    """
+    gone = near_duplicate_classes(docs.filter("doc_id is not null"), spark).filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = Scratch(spark, "copies").keep(gone, "ids")  # its size is known then: no text moves for a few
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*docs.columns)
