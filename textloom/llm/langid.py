@@ -8,6 +8,7 @@ once for every run of its width and read by lookup.  A text's score is the mean
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,18 +22,20 @@ from textloom.llm.common import id_crc, table
 WINDOW = 256
 WIDTHS = (2, 3)
 FILTERS = 12
-#: At most so many documents of each language are fitted on, and so many windows of each.
-SAMPLE_PER_LANGUAGE, WINDOWS_PER_DOCUMENT = 300, 8
+#: At most so many documents of each language are fitted on, with all their windows.
+SAMPLE_PER_LANGUAGE = 300
 
 
 def _alphabet() -> tuple[np.ndarray, int]:
-    """Symbol of each byte: letters by themselves, trail bytes of two-byte letters by value, the rest shared."""
+    """Symbol of each byte: letters by themselves, trail bytes by their low five bits, lead bytes by the scripts that they begin."""
     symbol = np.zeros(256, np.int64)  # 0: white space, digits and other ASCII
     for i in range(26):
         symbol[97 + i] = symbol[65 + i] = 1 + i
     symbol[0x80:0xC0] = 27 + np.arange(64) % 32  # lower and upper case of Latin-1 letters share the low five bits
-    symbol[0xC0:] = 59
-    return symbol, 60
+    # first lead bytes of: Latin-1, further Latin, Greek, Cyrillic, Armenian and Hebrew, Arabic, Indic, Georgian and others, symbols, kana, Han, Hangul, forms, beyond
+    starts = (0xC0, 0xC4, 0xCD, 0xD0, 0xD4, 0xD8, 0xE0, 0xE1, 0xE2, 0xE3, 0xE4, 0xEA, 0xEE, 0xF0)
+    symbol[0xC0:] = 58 + np.searchsorted(starts, np.arange(0xC0, 0x100), side="right")
+    return symbol, 59 + len(starts)
 
 
 SYMBOL, SYMBOLS = _alphabet()
@@ -125,37 +128,41 @@ def fit(symbols: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def _sample_windows(text: str, doc: int) -> np.ndarray:
-    """Up to WINDOWS_PER_DOCUMENT windows of a text, from its whole length, drawn by its id."""
-    w = windows_of(text.encode())
-    if len(w) > WINDOWS_PER_DOCUMENT:
-        w = w[np.sort(np.random.default_rng(doc & 0x7FFFFFFF).choice(len(w), WINDOWS_PER_DOCUMENT, replace=False))]
-    return w.astype(np.uint8)
-
-
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network | None:
     """Fits on a bounded sample: the ``per_language`` documents of each language with the least id hash, held-out ids excluded.
 
-    Rows with null text or lang are not used; None if there are none.
+    Rows with null id, text or lang are not used; repeated rows count as they come, but no more than the bound; None
+    if there are none.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").filter("lang is not null and text is not null").filter(id_crc() % 4 != 2)
-    languages = sorted(r[0] for r in named.select("lang").distinct().collect())  # as many as there are languages
-    parts = []
-    for lang in languages:
-        ids = named.filter(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(per_language)
-        parts.append(ids)
-    if not parts:
+    sizes = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as there are languages
+    if not sizes:
         return None
-    ids = parts[0]
-    for more in parts[1:]:
-        ids = ids.unionByName(more)
+    languages = sorted(sizes)
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    hashed = named.select("doc_id", "lang", h.alias("h"))
+    share, ids = 2.0, None
+    while True:  # hashes below a bar give a few more than are wanted; a bar that gives too few is raised
+        bars = {k: min(1.0, (share * per_language + 50) / n) for k, n in sizes.items()}
+        bar = F.lit(0.0)
+        for k, b in bars.items():
+            bar = F.when(F.col("lang") == k, F.lit(b * 2.0**40)).otherwise(bar)
+        ids = hashed.filter(F.col("h") < bar).collect()  # about twice the bound of each language, whatever the table's size
+        got = Counter(r["lang"] for r in ids)
+        if all(got[k] >= min(per_language, sizes[k]) or bars[k] >= 1 for k in sizes):
+            break
+        share *= 2
+    chosen = []
+    for k in languages:
+        chosen += sorted((r["h"], r["doc_id"]) for r in ids if r["lang"] == k)[:per_language]
+    picked = docs.sparkSession.createDataFrame([(x,) for x in sorted({d for _, d in chosen})], "doc_id long")
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_sample_windows(t.as_py(), d.as_py()).tobytes() for d, t in zip(batch.column(0), batch.column(2))]
+            rows = [windows_of(t.as_py().encode()).astype(np.uint8).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = named.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id").mapInArrow(draw, "doc_id long, lang string, x binary").collect()
+    got = named.join(F.broadcast(picked), "doc_id").mapInArrow(draw, "doc_id long, lang string, x binary").collect()  # of the bounded sample
     got.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
     xs = [np.frombuffer(r["x"], np.uint8).reshape(-1, WINDOW).astype(np.int64) for r in got]
     ys = [np.full(len(x), languages.index(r["lang"])) for x, r in zip(xs, got)]
@@ -163,7 +170,10 @@ def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Network |
 
 
 def predict(docs: DataFrame, net: Network | None, spark: SparkSession) -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; ``und`` and 0 for a null text or one without a letter."""
+    """(doc_id, lang_pred, score) of every whole text; ``und`` and 0 for a null text or one without a letter.
+
+    Repeated rows give repeated rows, a null id stays null, an empty table gives none.
+    """
     held = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
