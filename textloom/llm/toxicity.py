@@ -23,6 +23,8 @@ HASH_BITS = 18
 ORDERS = (3, 4, 5)
 #: At most so many labelled rows of each label are fitted on, those with the least hash of doc_id.
 SAMPLE_PER_LABEL = 2_500
+#: Features of the classifier: those of largest chi-square in the sample.
+FEATURES = 4_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -115,7 +117,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[0, used]), pa.array(total[1, used])], names=["feature", "neg", "pos"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, keep: int = 500, alpha: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, keep: int = FEATURES, alpha: float = 1.0) -> Model:
     """Fits on at most ``per_label`` labelled rows of each label (a documented bound), with ids outside the held-out fifth.
 
     The ``keep`` features of largest chi-square are used; only their counts and the rows' places among them
