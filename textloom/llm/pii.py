@@ -245,10 +245,11 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     """(doc_id, spans): base spans and proposed spans of each row, with the labelers' votes.
 
     A null text counts as empty.  One row comes out for each row, so repeated rows give repeated rows, a null id
-    stays null and an empty table gives none; other columns are not read.
+    stays null and an empty table gives none; other columns are not read.  The result is a written table: filters
+    on it would else be pushed into the whole chain of masks.
     """
     df = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return _looked(df, None).select("doc_id", F.concat("base", "loose").alias("spans"))
+    return Scratch(docs.sparkSession, "spans").keep(_looked(df, None).select("doc_id", F.concat("base", "loose").alias("spans")), "candidates")
 
 
 def estimate(counts: dict[tuple[int, ...], float], rounds: int = 50, prior: float = 0.5) -> dict[tuple[int, ...], float]:
@@ -342,7 +343,7 @@ def _spelled(spans: str) -> Column:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every whole document; ``n_found`` counts the base spans and those that the classifier adds."""
-    held = Scratch(spark, "pii").keep(candidates(table(spark, sf_dir, "documents")), "candidates")
+    held = candidates(table(spark, sf_dir, "documents"))
     out = decided(held, fit(held))
     count = lambda spans, i: F.size(F.filter(spans, lambda s: s["rank"] == i)).cast("long")
     counts = [count("base", i).alias(f"n_{k}") for i, k in enumerate(BASE)]
@@ -356,8 +357,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     U+FFFD if something in it is redacted.  Repeated rows give repeated rows; other columns stay as they are.
     """
     scratch = Scratch(spark, "redact")
-    model = fit(scratch.keep(candidates(docs), "candidates"))
-    scratch.drop("candidates")
+    model = fit(candidates(docs))
     marks = "".join(TAKEN.values()) + REST
     clean = F.translate(F.coalesce("text", F.lit("")), marks, "�" * len(marks))
     # the spans are found again rather than joined back: a projection, where a join would move every text
