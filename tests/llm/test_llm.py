@@ -166,29 +166,67 @@ def test_elias_fano():
         q = np.concatenate([v, r.integers(0, top, n, dtype=np.uint64), [np.uint64(2**63)]])
         at = np.minimum(np.searchsorted(v, q), len(v) - 1)
         assert (code.find(q) == np.where(v[at] == q, at, -1)).all()
-
-
-def test_lm(spark, docs, empty):
-    folder = lm.train(docs.filter("doc_id % 4 <> 1"), spark)
-    got = {r.doc_id: r for r in lm.score(docs, folder).collect()}
-    words = lambda t: [w.lower() if w.isascii() else w for w in re.findall(r"[^\x20\x09-\x0d]+", t or "")] + ["\0"]
-    counts = Counter(w for i, t in enumerate(TEXTS) if i % 4 != 1 for w in words(t))
-    total, size = sum(counts.values()), len(counts)
-    for i, t in enumerate(TEXTS):
-        w = words(t)
-        want = sum(math.log10((counts[x] + 1) / (total + size + 1)) for x in w)
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(counts[x] > 0 for x in w), total)
-        assert got[i].base_score == pytest.approx(want) and got[i].score < 0
-    assert got[3].score > got[3].base_score
+        assert (code.get(np.arange(len(v))) == v).all()
+    steps = np.repeat(np.arange(50, dtype=np.uint64), 3)
+    assert (eliasfano.Code(eliasfano.build(steps)).get(np.arange(150)) == steps).all()
+
+
+def lm_words(t):
+    return [w.lower() if w.isascii() else w for w in re.findall(r"[^\x20\x09-\x0d]+", t or "")] + ["\0"]
+
+
+def lm_model(texts, order):
+    """Interpolated absolute discounting the plain way: log10 p of the last word of a context and word."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        w = ["\0", *lm_words(t)]
+        counts[1].update(w[1:])
+        for k in range(2, order + 1):
+            counts[k].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    total, size = sum(counts[1].values()), len(counts[1])
+
+    def p(words):
+        if len(words) == 1:
+            return (counts[1][words[0]] + 1) / (total + size + 1)
+        after = [(g, n) for g, n in counts[len(words)].items() if g[:-1] == words[:-1]]
+        lower = p(words[1:])
+        if not after:
+            return lower
+        n = sum(c for _, c in after)
+        return max(0, counts[len(words)][words] - lm.DISCOUNT) / n + lm.DISCOUNT * len(after) / n * lower
+
+    return counts, total, size, p
+
+
+@pytest.mark.parametrize("order,part", [(2, 10**6), (3, 10**6), (2, 12), (3, 25)])
+def test_lm(spark, docs, order, part, monkeypatch):
+    """Every score equals the back-off model's within the quantiser's step, also with contexts cut over shards."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", part)
+    all_texts, d = TEXTS, docs
+    if part < 100:  # few words, one of them in most pairs
+        all_texts = [" ".join(x for w in prose(9, 800 + i).split()[: i % 10] for x in (w, "the")) for i in range(12)] + [None, "The the THE"]
+        d = table(spark, all_texts)
+    texts = [t for i, t in enumerate(all_texts) if i % 4 != 1]
+    folder = lm.train(d.filter("doc_id % 4 <> 1"), spark, order)
+    got = {r.doc_id: r for r in lm.score(d, folder, order).collect()}
+    counts, total, size, p = lm_model(texts, order)
+    for i, t in enumerate(all_texts):
+        w = lm_words(t)
+        base = sum(math.log10((counts[1][x] + 1) / (total + size + 1)) for x in w)
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(counts[1][x] > 0 for x in w), total)
+        assert got[i].base_score == pytest.approx(base)
+        if len(w) < 400:
+            full = ["\0", *w]
+            want = sum(math.log10(p(tuple(full[max(0, j - order + 1) : j + 1]))) for j in range(1, len(full)))
+            assert abs(got[i].score - want) <= len(w) * (order - 1) * lm.STEP / 2 + 1e-6
+    if part > 100:
+        assert got[3].score > got[3].base_score
+
+
+def test_lm_of_nothing(spark, empty):
     assert lm.score(empty, lm.train(empty, spark)).count() == 0
-    trie = lm.Trie(folder)  # a distribution: the probabilities after a context add up to one, quantising apart
-    h = np.unique(np.concatenate([lm.tokens([t])[0] for i, t in enumerate(TEXTS) if i % 4 != 1]))
-    ids, n = trie.ids(h)
-    c = ids[np.argmax(n)]
-    stored = trie.pair(np.full(len(ids), c), ids)
-    left = -lm.STEP * trie.of_ids(np.array([c]), "rest")[0]
-    p = np.where(stored >= 0, 10.0 ** (-lm.STEP * stored), 10.0 ** (left + trie.unigram(n)))
-    assert 0.85 < p.sum() < 1.15
+    got = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), lm.train(empty, spark)).first()
+    assert (got.n_tokens, got.n_known, got.train_tokens, got.score) == (3, 0, 0, 0.0)
 
 
 def test_decontamination(spark, empty):
