@@ -30,6 +30,8 @@ LENGTH = 400
 CORE = 288
 #: Blocks of one core that a task may hold; more are dealt by window.
 GROUP = 2_000
+#: A block of more copies than this, or than this share of all, is met by broadcast rather than by a shuffle.
+HOT, HOT_SHARE = 1_000, 10_000
 #: Windows looked at in one piece of a text, and bytes sorted in one suffix array.
 PIECE, BATCH = 1 << 22, 6_000_000
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -289,8 +291,13 @@ def repeats(rows: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataF
     scratch.drop("cores")
     item = F.struct("row", "first", "last", "place")
     blocks = scratch.keep(shared.groupBy("core", "hi", "lo").agg(F.count("*").alias("c"), F.min(item).alias("x")), "blocks")
-    copied = scratch.keep(blocks.filter("c > 1").select("core", "hi", "lo"), "copied")
-    whole = shared.join(copied, ["core", "hi", "lo"], "left_semi").select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    key = ["core", "hi", "lo"]
+    copied = scratch.keep(blocks.filter("c > 1").select(*key, "c"), "copied")
+    # blocks of very many copies are HOT_SHARE at most, so they are broadcast and their rows need not meet
+    bar = max(HOT, (copied.agg(F.sum("c")).first()[0] or 0) // HOT_SHARE)
+    marked = shared.join(F.broadcast(copied.filter(F.col("c") > bar).withColumn("hot", F.lit(True)).drop("c")), key, "left")
+    few = marked.filter("hot is null").drop("hot").join(copied.filter(F.col("c") <= bar).drop("c"), key, "left_semi")
+    whole = marked.filter("hot").drop("hot").unionByName(few).select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     # blocks that occur once, and one of each other block of their cores to compare them with
     mixed = blocks.groupBy("core").agg(F.count_if(F.col("c") == 1).alias("s"), F.count("*").alias("n")).filter("s > 0 and n > 1")
     mixed = scratch.keep(mixed.select("core", "n"), "mixed")
@@ -299,7 +306,10 @@ def repeats(rows: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataF
     cut = rows.join(items, "row").select("row", "text", "items").mapInArrow(_cut(length), BLOCKS)
     met = cut.repartition(shuffle_parts(spark), "core", "salt").sortWithinPartitions("core", "salt")
     edges = met.mapInArrow(_sort_blocks(length), "row long, a long, b long")
-    return scratch.keep(whole.unionByName(edges), "ranges")
+    ranges = scratch.keep(whole.unionByName(edges), "ranges")
+    for name in ("shared", "blocks", "copied", "mixed"):
+        scratch.drop(name)
+    return ranges
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
