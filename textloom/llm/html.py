@@ -235,8 +235,9 @@ def _evidence(held: DataFrame, by: list[str], scratch: Scratch, name: str) -> Da
     total = held.groupBy(*by).agg(F.count_distinct("page").alias("all")) if by else held.agg(F.count_distinct("page").alias("all"))
     blocks = held.select(*by, "page", F.explode(F.arrays_zip("paths", "texts", "words")).alias("x")).select(*by, "page", F.col("x.paths").alias("path"), F.xxhash64("x.texts").alias("text"), F.col("x.words").alias("words"))
     texts = blocks.groupBy(*by, "path", "text", "page").agg(F.max("words").alias("words")).groupBy(*by, "path", "text").agg(F.count("*").alias("c"), F.max("words").alias("words"))
-    texts = texts.join(total, by) if by else texts.crossJoin(total)  # one row
-    told = texts.groupBy(*by, "path").agg(F.sum(F.col("words") * F.col("c") * _bits((F.col("all") + 1) / F.col("c"))).alias("told"))
+    sums = texts.groupBy(*by, "path").agg(F.sum(F.col("words") * F.col("c")).alias("w"), F.sum(F.col("words") * F.col("c") * _bits(F.col("c"))).alias("known"))
+    sums = sums.join(total, by) if by else sums.crossJoin(total)  # one row
+    told = sums.select(*by, "path", (F.col("w") * _bits(F.col("all") + 1) - F.col("known")).alias("told"))
     # composed up the branch: a node tells what the blocks below it tell
     parts = F.split("path", "/")
     chains = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
