@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Unicode white space as Python strips it, for Java's regular expressions and for RE2.
 JAVA_SPACE = "\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RE2_SPACE = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+#: White space that ends no line.
+JAVA_BLANK = "\\x09\\x1f\\x20\\xa0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000"
 #: Line boundaries as Python's splitlines knows them.
 JAVA_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 RE2_LINE = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]"
@@ -62,7 +64,8 @@ def lines(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """Line ends unified, trailing space of lines and surrounding space dropped."""
-    return strip(F.array_join(F.transform(lines(text), rstrip), "\n"))
+    unified = F.regexp_replace(text, JAVA_LINE, "\n")
+    return strip(F.regexp_replace(unified, f"(?<![{JAVA_BLANK}])[{JAVA_BLANK}]++(?=\n)", ""))
 
 
 def normalized_hash(text: Column) -> Column:
@@ -122,5 +125,11 @@ def truncate_after(text: Column, stop: str) -> Column:
     return F.when(F.instr(text, stop) > 0, F.substring(text, F.lit(1), F.instr(text, stop) + len(stop) - 1)).otherwise(text)
 
 
+def time_words(seconds: Column) -> Column:
+    """Seconds in words: under a minute, minutes, or hours and minutes."""
+    s = F.floor(seconds)
+    return F.when(s < 60, F.format_string("%ds", s)).when(s < 3600, F.format_string("%dm", F.floor(s / 60))).otherwise(F.format_string("%dh %02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
+
+
 def shorten(text: Column, n: int = 160) -> Column:
     return F.substring(F.regexp_replace(strip(text), f"[{JAVA_SPACE}]+", " "), 1, n)

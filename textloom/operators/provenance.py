@@ -10,7 +10,11 @@ from textloom.functions import text as T
 # Directory names, patterns.
 EXCLUDED_DIRS = ("vendor", "vendored", "third_party", "third-party", "external", "fixtures", "fixture", "testdata", "test_data", "__pycache__", "node_modules", "target", "_build", "build", ".lake")
 BENCHMARK = "(?i)(^|[^A-Za-z0-9])(human[_-]?eval|mbpp|code[_-]?contests|apps)([^A-Za-z0-9]|$)"
-GENERATED = "(?im)^[ \\t]*(//|#|/\\*|\\*|--|\\.\\.)?[ \\t]*(@generated|this (file|code) (is|was) (automatically )?generated|automatically generated|generated by|do not edit)\\b"
+GENERATED = (
+    "(?im)^[ \\t]*(//|#|/\\*|\\*|--|\\.\\.)?[ \\t]*([rubf]{0,2}(\"{3}|'{3})[ \\t]*)?"
+    "(@generated\\b|this (file|code) (is|was) (automatically )?generated\\b|automatically generated\\b|generated by\\b|do not edit\\b|"
+    "Python Character Mapping Codec [^\\r\\n]*\\bgenerated from\\b)"
+)
 
 
 def with_paths(docs: DataFrame) -> DataFrame:

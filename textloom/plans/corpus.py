@@ -20,9 +20,10 @@ PATH = "source || '/' || lang || '/' || case when doc_id % 7 = 0 then 'tests' wh
 REASON = f"""case when list_has_any(string_split(lower(p), '/'), ['vendor','vendored','third_party','third-party','external','fixtures','fixture','testdata','test_data','__pycache__','node_modules','target','_build','build','.lake']) then 'vendored-generated-or-fixture-directory'
  when list_contains(string_split(lower(p), '/'), 'data') and regexp_matches(lower(p), '(^|/)(tests?(/|$)|test_)') then 'test-fixture-data'
  when regexp_matches(p, '(?i)(^|[^A-Za-z0-9])(human[_-]?eval|mbpp|code[_-]?contests|apps)([^A-Za-z0-9]|$)') then 'benchmark-name-in-path' end"""
+GENERATED_SQL = provenance.GENERATED.replace("'", "''")
 CONTENT_REASON = f"""case when p_reason is not null then p_reason when contains(text, chr(0)) then 'binary-nul' when {STRIP} = '' then 'empty'
  when regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(human[_-]?eval|mbpp|code[_-]?contests|apps)([^A-Za-z0-9]|$)') then 'benchmark-name-in-content'
- when regexp_matches(array_to_string(({LINES_OF})[1:80], chr(10)), '(?im)^[ \\t]*(//|#|/\\*|\\*|--|\\.\\.)?[ \\t]*(@generated|this (file|code) (is|was) (automatically )?generated|automatically generated|generated by|do not edit)\\b') then 'generated-header' end"""
+ when regexp_matches(array_to_string(({LINES_OF})[1:80], chr(10)), '{GENERATED_SQL}') then 'generated-header' end"""
 
 
 @query("exact_dedup", "select sha1(text) dedup_key, min(doc_id) doc_id, count(*) n_copies from documents group by 1")
@@ -57,10 +58,15 @@ def min_length_filter(spark, d):
     return table(spark, d, "documents").filter((F.length("text") >= 200) & (T.strip(F.col("text")) != "")).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("segment_documents", "with j as (select source, string_agg(text, chr(10) || chr(10) order by doc_id) corpus from documents where doc_id < 1000000000 group by source), s as (select source, unnest(string_split(corpus, chr(10) || chr(10))) doc from j) select source, count(*) n_docs, cast(sum(length(doc)) as bigint) n_chars from s where trim(doc) <> '' group by source")
+BROKEN = "case when doc_id % 3 = 0 then replace(text, '. ', '.' || chr(10) || chr(10) || '# file: ') else replace(text, '. ', '.' || chr(10) || chr(10)) end"
+
+
+@query("segment_documents", f"with b as (select doc_id, {BROKEN} t from documents), s as (select doc_id, unnest(case when contains(t, chr(10) || chr(10) || '# file: ') then list_transform(string_split(t, chr(10) || chr(10) || '# file: '), lambda x, i: case when i > 1 then '# file: ' || x else x end) else string_split(t, chr(10) || chr(10)) end) doc from b) select doc_id, count(*) n_docs, cast(sum(length(doc)) as bigint) n_chars from s where regexp_replace(doc, '[{S}]+', '', 'g') <> '' group by doc_id")
 def segment_documents(spark, d):
-    docs = table(spark, d, "documents")
-    return splits.segments(docs, "text").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("doc")).alias("n_chars"))
+    """Sentences stand for the documents of a joined text: set apart by markers in a third of the rows, by blank lines in the others."""
+    gap = F.when(F.col("doc_id") % 3 == 0, ".\n\n# file: ").otherwise(".\n\n")
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), gap).alias("text"))
+    return splits.segments(docs, "text").groupBy("doc_id").agg(F.count("*").alias("n_docs"), F.sum(F.length("doc")).alias("n_chars"))
 
 
 @query("hash_split", f"with u as ({SURVIVORS}) select doc_id, {SPLIT} split from documents join u using (doc_id)")
@@ -159,9 +165,9 @@ def order_split(spark, d):
     return splits.order_split(table(spark, d, "documents"), FRACTION, SEED)
 
 
-@query("stratified_windows", "with t as (select doc_id, length(text) n, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(length(text)) over () total from documents), w as (select i, (select max(total) from t) * i // 10 a from range(10) r(i)) select cast(i as bigint) stratum, cast(a as bigint) start, t.doc_id from w join t on a >= before and a < before + n")
+@query("stratified_windows", "with t as (select doc_id, length(text) n, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(length(text)) over () total from documents), e as (select i, (select max(total) from t) * i // 10 a, (select max(total) from t) * (i + 1) // 10 b from range(10) r(i)), w as (select i, a + ('0x' || substr(md5('7:' || i), 1, 8))::bigint % greatest(1, b - a) p from e) select cast(i as bigint) stratum, cast(p as bigint) start, t.doc_id from w join t on p >= before and p < before + n")
 def stratified_windows(spark, d):
-    return splits.stratified(table(spark, d, "documents"), 10)
+    return splits.stratified(table(spark, d, "documents"), 10, 7)
 
 
 @query("weighted_draws", "with t as (select doc_id, length(text) n, coalesce(sum(length(text)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(length(text)) over () total from documents), w as (select i, ('0x' || substr(md5('7:' || i), 1, 8))::bigint % (select max(total) from t) u from range(64) r(i)) select i draw, doc_id, cast(u - before as bigint) as \"offset\" from w join t on u >= before and u < before + n")

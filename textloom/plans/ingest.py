@@ -28,21 +28,17 @@ def html_text(spark, d):
     return files.read_binary(pages).select("path", "text", "kind", "encoding", "dropped", "word")
 
 
-@query("readable_text", "select doc_id, length(text) > 0 and not contains(text, chr(0)) and 1 - length(regexp_replace(text, '[^\\pC\\pZ]|[ \\n\\r\\t]', '', 'g')) / length(text) >= 0.9 readable from documents where length(text) > 0")
+@query("readable_text", "select doc_id, coalesce(length(text), 0) > 0 and not contains(text, chr(0)) and 1 - length(regexp_replace(text, '[^\\pC\\pZ]|[ \\n\\r\\t]', '', 'g')) / length(text) >= 0.9 readable from documents")
 def readable_text(spark, d):
     bad = F.regexp_count("text", F.lit("[\\p{C}\\p{Z}&&[^ \\n\\r\\t]]"))
-    return table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", (~F.col("text").contains("\0") & ((1 - bad / F.length("text")) >= 0.9)).alias("readable"))
+    full = F.coalesce(F.length("text"), F.lit(0)) > 0
+    return table(spark, d, "documents").select("doc_id", F.when(full, ~F.col("text").contains("\0") & ((1 - bad / F.length("text")) >= 0.9)).otherwise(False).alias("readable"))
 
 
-@query("accent_gate", "with p as (select doc_id, text, length(text) n, ceil(length(text) / ceil(length(text) / 512.0))::bigint step from documents where length(text) > 0), c as (select doc_id, substr(text, cast(i * step + 1 as bigint), step) part from (select *, unnest(range(0, ceil(n / step)::bigint)) i from p)), s as (select doc_id, length(regexp_replace(part, '[^\\pL]', '', 'g')) letters, length(regexp_replace(part, '[^" + T.accent_class("\\x{{{:x}}}") + "]', '', 'g')) accented from c) select doc_id, count(*) filter (letters >= 8) judged, count(*) filter (letters >= 8 and accented / letters >= 0.35) tripped, round(coalesce(max(accented / letters) filter (letters >= 8), 0), 9) worst from s group by doc_id")
+@query("accent_gate", "with p as (select doc_id, text, length(text) n, ceil(length(text) / ceil(length(text) / 512.0))::bigint step from documents where length(text) > 0), c as (select doc_id, substr(text, cast(i * step + 1 as bigint), step) part from (select *, unnest(range(0, ceil(n / step)::bigint)) i from p)), s as (select doc_id, length(regexp_replace(part, '[^\\pL]', '', 'g')) letters, length(regexp_replace(part, '[^" + T.accent_class("\\x{{{:x}}}") + "]', '', 'g')) accented from c) select doc_id, count(*) filter (letters >= 8) judged, count(*) filter (letters >= 8 and accented / letters >= 0.35) tripped, round(coalesce(max(accented / letters) filter (letters >= 8), 0), 9) worst from s group by doc_id union all select doc_id, 0, 0, 0.0 from documents where coalesce(length(text), 0) = 0")
 def accent_gate(spark, d):
-    """Chunks are cut by position, so each is a row of its own and long texts don't make slow rows."""
-    p = table(spark, d, "documents").filter(F.length("text") > 0).select("doc_id", "text", F.ceil(F.length("text") / F.ceil(F.length("text") / 512.0)).alias("step"))
-    c = p.select("doc_id", F.posexplode(F.expr("regexp_extract_all(text, concat('(?s).{1,', step, '}'), 0)")).alias("i", "part"))
-    letters, accented = F.regexp_count("part", F.lit("\\p{L}")), F.regexp_count("part", F.lit("[" + T.accent_class("\\u{:04x}") + "]"))
-    s = c.select("doc_id", letters.alias("letters"), accented.alias("accented"))
-    enough, share = F.col("letters") >= 8, F.try_divide(F.col("accented"), F.col("letters"))
-    return s.groupBy("doc_id").agg(F.count_if(enough).alias("judged"), F.count_if(enough & (share >= 0.35)).alias("tripped"), F.round(F.coalesce(F.max(F.when(enough, share)), F.lit(0.0)), 9).alias("worst"))
+    """Letters are looked up in a table by code point and summed by chunk, beside the text."""
+    return files.accent_rows(table(spark, d, "documents"))
 
 
 @query("size_verdict", "select doc_id, case when n = 0 then 'empty' when n > 268435456 then 'too big' when n > 33554432 then 'large' else 'fits' end verdict, case when n < 1024 then n || ' bytes' when n < 1048576 then n // 1024 || ' KB' else n // 1048576 || ' MB' end words from (select doc_id, strlen(text) n from documents)")
@@ -58,7 +54,7 @@ def cut_at_blank(spark, d):
     return j.select("source", F.length(T.cut_at_blank_line(F.col("t"), 20000)).cast("long").alias("n"))
 
 
-@query("scripts_in_text", "with r(system, lo, hi, prio) as (values " + ", ".join(f"('{n}', {lo}, {hi}, {i})" for i, (n, lo, hi) in enumerate(scripts.RANGES)) + "), x as (select doc_id, unnest(string_split(text, '')) ch, generate_subscripts(string_split(text, ''), 1) - 1 pos from documents), c as (select doc_id, unicode(ch) cp, min(pos) pos from x where ch <> '' and unicode(ch) > 127 group by all), n as (select doc_id, cp, pos, coalesce(arg_min(system, prio), 'U+' || lpad(upper(to_hex(cp)), 4, '0')) system from c left join r on cp between lo and hi group by doc_id, cp, pos) select doc_id, system, count(*) n_chars, min(pos) first_pos from n group by doc_id, system")
+@query("scripts_in_text", "with r(system, lo, hi, prio) as (values " + ", ".join(f"('{n}', {lo}, {hi}, {i})" for i, (n, lo, hi) in enumerate(scripts.FLAT)) + "), x as (select doc_id, unnest(string_split(text, '')) ch, generate_subscripts(string_split(text, ''), 1) - 1 pos from documents), c as (select doc_id, unicode(ch) cp, min(pos) pos from x where ch <> '' and unicode(ch) > 127 group by all), n as (select doc_id, cp, pos, coalesce(arg_min(system, prio), 'U+' || lpad(upper(to_hex(cp)), 4, '0')) system from c left join r on cp between lo and hi group by doc_id, cp, pos) select doc_id, system, count(*) n_chars, min(pos) first_pos from n group by doc_id, system")
 def scripts_in_text(spark, d):
     return scripts.systems(table(spark, d, "documents"), "doc_id")
 
@@ -66,7 +62,8 @@ def scripts_in_text(spark, d):
 @query("ascii_fold", None)
 def ascii_fold(spark, d):
     """NFKD folding to ASCII; Spark has no normalisation function, so it runs in Arrow batches."""
-    fold = {0x2018: "'", 0x2019: "'", 0x201C: '"', 0x201D: '"', 0x2013: "-", 0x2014: "--", 0x2026: "...", 0xDF: "ss", 0xE6: "ae", 0xF8: "o"}
+    # fixed values
+    fold = str.maketrans({"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "―": "-", "−": "-", "…": "...", "\u00a0": " ", "•": "*", "·": "*", "′": "'", "″": '"', "\ufeff": ""})
 
     @F.pandas_udf("string")
     def folded(texts: pd.Series) -> pd.Series:

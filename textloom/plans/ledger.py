@@ -58,10 +58,10 @@ def last_runs(spark, d):
     return G.last_n(_metrics(spark, d), "kind", "step", 15).select("run", "step", "kind", F.col("rn").cast("long").alias("rn"))
 
 
-@query("step_check", f"with l as (select run, step, row_number() over (partition by run order by value, step) line_no from {METRICS} where run < 20), b as (select *, lag(step) over (partition by run order by line_no) before from l) select run, step, line_no, before from b where step <= before")
+@query("step_check", f"with l as (select run, step, row_number() over (partition by run order by value, step) line_no from {METRICS}), b as (select *, lag(step) over (partition by run order by line_no) before from l) select run, step, line_no, before from b where step <= before")
 def step_check(spark, d):
     w = Window.partitionBy("run").orderBy("value", "step")
-    lines = _metrics(spark, d).filter("run < 20").withColumn("line_no", F.row_number().over(w).cast("long"))
+    lines = _metrics(spark, d).withColumn("line_no", F.row_number().over(w).cast("long"))
     return G.increasing(lines, "run", "step").select("run", "step", "line_no", "before")
 
 
@@ -126,9 +126,9 @@ def pair_summary(spark, d):
     return p.groupBy("quality").agg(F.count("*").alias("n"), F.round(F.avg((F.col("toxic") == 0).cast("double")), 9).alias("accuracy"), F.round(F.avg(F.greatest(F.lit(0), 1 - (F.col("quality") - F.col("toxic"))).cast("double")), 9).alias("hinge"))
 
 
-@query("trace_scores", "with t as (select doc_id, lang split, string_split(text, ' ')[1:8] ref, list_transform(string_split(text, ' ')[1:8], lambda w, i: case when i > 1 + doc_id % 9 then 'x' else w end) gen from documents), s as (select split, len(ref) n, coalesce(list_position(list_transform(list_zip(ref, gen), lambda z: z[1] = z[2]), false) - 1, len(ref)) m, ref = gen exact from t) select split, count(*) examples, round(avg(exact::int), 9) trace_exact, round(sum(m) / nullif(sum(n), 0), 9) line_prefix_accuracy from s group by split")
+@query("trace_scores", "with t as (select doc_id, lang split, string_split(text, ' ') ref, list_transform(string_split(text, ' '), lambda w, i: case when i > 1 + doc_id % 9 then 'x' else w end) gen from documents), s as (select split, len(ref) n, coalesce(list_position(list_transform(list_zip(ref, gen), lambda z: z[1] = z[2]), false) - 1, len(ref)) m, ref = gen exact from t) select split, count(*) examples, round(avg(exact::int), 9) trace_exact, round(sum(m) / nullif(sum(n), 0), 9) line_prefix_accuracy from s group by split")
 def trace_scores(spark, d):
-    ref = F.slice(F.split("text", " ", -1), 1, 8)
+    ref = F.split("text", " ", -1)
     gen = F.transform("ref", lambda w, i: F.when(i + 1 > 1 + F.col("doc_id") % 9, "x").otherwise(w))
     t = table(spark, d, "documents").select("doc_id", F.col("lang").alias("split"), ref.alias("ref")).withColumn("gen", gen)
     s = t.select("split", F.size("ref").alias("n"), G.prefix_match(F.col("ref"), F.col("gen")).alias("m"), (F.col("ref") == F.col("gen")).alias("exact"))

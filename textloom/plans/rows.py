@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.operators import ngrams, rows as R
 from textloom.plans.registry import query, table
@@ -69,11 +70,12 @@ def collate(spark, d):
     return R.collated(t).select("conv_id", "batch", _ints("x").alias("x"), F.col("pad").cast("long").alias("pad"))
 
 
-@query("pair_rows", "with p as (select doc_id, text from documents join labels using (doc_id) where quality is not null), q as (select doc_id, substr(text, 1, 40) prompt, substr(text, 41, 60) chosen, substr(text, 61, 60) rejected from p) select doc_id, case when coalesce(prompt, '') = '' then 'empty prompt' when coalesce(chosen, '') = '' or coalesce(rejected, '') = '' then 'empty side' when chosen = rejected then 'identical sides' when greatest(length(chosen), length(rejected)) + length(prompt) - 1 > 128 then 'too long' end refusal from q")
+@query("pair_rows", "with p as (select doc_id, text from documents join labels using (doc_id) where quality is not null), q as (select doc_id, substr(text, 1, 40) prompt, substr(text, 41, length(text) // 2) chosen, substr(text, 41 + length(text) // 2) rejected from p) select doc_id, case when coalesce(prompt, '') = '' then 'empty prompt' when coalesce(chosen, '') = '' or coalesce(rejected, '') = '' then 'empty side' when chosen = rejected then 'identical sides' when greatest(length(chosen), length(rejected)) + length(prompt) - 1 > 128 then 'too long' end refusal from q")
 def pair_rows(spark, d):
     p = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality is not null"), "doc_id")
-    s = lambda a, n: F.substring("text", a, n)
-    return p.select("doc_id", R.pair_refusal(s(1, 40), s(41, 60), s(61, 60), 128).alias("refusal"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    prompt, chosen, rejected = F.substring("text", 1, 40), F.substring(F.col("text"), F.lit(41), half), F.substring(F.col("text"), half + 41, F.length("text"))
+    return p.select("doc_id", R.pair_refusal(prompt, chosen, rejected, 128).alias("refusal"))
 
 
 @query("full_batches", "with r as (select conv_id, row_number() over (order by sha256('7:0:' || conv_id)) rn, count(*) over () n from (select distinct conv_id from conversations)) select conv_id, (rn - 1) // 16 batch from r where (rn - 1) // 16 < n // 16")
@@ -106,6 +108,13 @@ def fim_parts(spark, d):
     return R.fim(table(spark, d, "documents"), 0.5, 0.5, 1337, 0)
 
 
-@query("epoch_order", "select doc_id, sha256('1337:2:' || doc_id) k from documents")
+@query("epoch_order", "select doc_id, row_number() over (order by sha256('1337:2:' || doc_id), doc_id) - 1 place from documents")
 def epoch_order(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("1337:2:"), F.col("doc_id").cast("string")), 256).alias("k"))
+    """The place of each document in an epoch: rows are ranked inside buckets of the digest's first two bytes, then by the buckets' sizes."""
+    from textloom.operators.splits import running
+
+    x = table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.lit("1337:2:"), F.col("doc_id").cast("string")), 256).alias("k"))
+    x = x.withColumn("b", F.conv(F.substring("k", 1, 4), 16, 10).cast("long"))
+    before = running(x.groupBy("b").agg(F.count("*").alias("n")), F.col("n"), "b").select("b", "before")
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("k", "doc_id"))
+    return x.join(before, "b").select("doc_id", (F.col("before") + rank - 1).cast("long").alias("place"))

@@ -44,9 +44,9 @@ def learning_rates(spark, d):
     return spark.range(120).select(F.col("id").alias("step"), F.round(U.cosine_rate(F.col("id"), 0.003, 0.0003, 10, 100), 12).alias("lr"))
 
 
-@query("agreement", "with t as (select doc_id, string_split(text, ' ')[1:20] a, list_transform(string_split(text, ' ')[1:20], lambda w, i: case when i % (2 + doc_id % 30) = 0 then 'x' else w end) b from documents), s as (select doc_id, list_transform(list_zip(a, b), lambda z: z[1] = z[2]) same from t) select doc_id, len(list_filter(same, lambda x: x)) agree, coalesce(list_position(same, false) - 1, len(same)) first_difference from s")
+@query("agreement", "with t as (select doc_id, string_split(text, ' ') a, list_transform(string_split(text, ' '), lambda w, i: case when i % (2 + doc_id % 30) = 0 then 'x' else w end) b from documents), s as (select doc_id, list_transform(list_zip(a, b), lambda z: z[1] = z[2]) same from t) select doc_id, len(list_filter(same, lambda x: x)) agree, coalesce(list_position(same, false) - 1, len(same)) first_difference from s")
 def agreement(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.slice(F.split("text", " ", -1), 1, 20).alias("a"))
+    t = table(spark, d, "documents").select("doc_id", F.split("text", " ", -1).alias("a"))
     t = t.withColumn("b", F.transform("a", lambda w, i: F.when((i + 1) % (2 + F.col("doc_id") % 30) == 0, "x").otherwise(w)))
     n, first = U.agreement(F.col("a"), F.col("b"))
     return t.select("doc_id", n.alias("agree"), first.alias("first_difference"))
