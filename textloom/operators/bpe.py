@@ -1,4 +1,4 @@
-"""Byte-level BPE: fitted on the training side alone, applied in Arrow batches, with a durable memo of encodings."""
+"""Byte-level BPE by a tokenizer file, which is read and never fitted here: applied in Arrow batches, with a durable memo of encodings."""
 
 from __future__ import annotations
 

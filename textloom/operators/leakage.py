@@ -16,6 +16,8 @@ from textloom.functions import text as T
 GRAM, WINDOW = 50, 25
 BARS = {"content": (0.20, 0.05), "documents": (0.10, 0.01), "lines": (0.90, 0.50)}
 MIN_LINES, DECISIVE_LINES, DECISIVE = 20, 3, 0.90
+#: A validation side of at most so many characters has at most as many hashes of 64 bytes, and is broadcast.
+BROADCAST_CHARS = 2_000_000
 
 
 def gram_hash(gram: Column) -> Column:
@@ -46,14 +48,17 @@ def fingerprints(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 def winnowed(text: str) -> list[str]:
     """Distinct window minima of a text's gram hashes."""
     n = max(1, len(text) - GRAM + 1)
-    h = [md5(text[i : i + GRAM].encode()).hexdigest()[:16] for i in range(n)]
-    if n < WINDOW:
-        return sorted(set(h))
-    v = np.array([int(x, 16) for x in h], np.uint64)
-    least, size = v, 1
-    while 2 * size <= WINDOW:
-        least, size = np.minimum(least[:-size], least[size:]), 2 * size
-    return [f"{x:016x}" for x in np.unique(np.minimum(least[: n - WINDOW + 1], least[WINDOW - size :])).tolist()]
+    data = text.encode()
+    if len(data) == len(text):  # a byte a character
+        grams = (data[i : i + GRAM] for i in range(n))
+    else:
+        grams = (text[i : i + GRAM].encode() for i in range(n))
+    least, size = np.frombuffer(b"".join([md5(g).digest()[:8] for g in grams]), ">u8").astype(np.uint64), 1
+    if n >= WINDOW:
+        while 2 * size <= WINDOW:
+            least, size = np.minimum(least[:-size], least[size:]), 2 * size
+        least = np.minimum(least[: n - WINDOW + 1], least[WINDOW - size :])
+    return [f"{x:016x}" for x in np.unique(least).tolist()]
 
 
 def lines_of(df: DataFrame, text: str = "text") -> DataFrame:
@@ -61,17 +66,24 @@ def lines_of(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scan(train: DataFrame, val: DataFrame) -> DataFrame:
-    """One row of counts: documents, lines and fingerprints of the validation side, and those found in training."""
+    """One row of counts: documents, lines and fingerprints of the validation side, and those found in training.
+
+    The training side is met with the validation side's distinct hashes before anything of it is grouped: by
+    broadcast if the validation side has few characters, else by a shuffled join of hashes.
+    """
     count = lambda df, names: df.agg(F.count("*").alias(names[0]), F.count_if("hit").alias(names[1]))
 
-    def arm(left: DataFrame, right: DataFrame, on: str, names: tuple[str, str]) -> DataFrame:
-        marked = right.select(on).distinct().withColumn("hit", F.lit(True))
-        return count(left.join(marked, on, "left").select(F.coalesce("hit", F.lit(False)).alias("hit")), names)
+    small = val.agg(F.sum(F.length("text"))).first()[0] or 0
+    hint = F.broadcast if small <= BROADCAST_CHARS else lambda df: df
+
+    def arm(left: DataFrame, right: DataFrame, names: tuple[str, str]) -> DataFrame:
+        met = right.select("h").join(hint(left.select("h").distinct()), "h", "left_semi").distinct().withColumn("hit", F.lit(True))
+        return count(left.join(met, "h", "left").select(F.coalesce("hit", F.lit(False)).alias("hit")), names)
 
-    hashed = lambda df: df.select(F.sha2("text", 256).alias("h"))
-    documents = arm(hashed(val), hashed(train), "h", ("val_docs", "val_docs_in_train"))
-    lines = arm(lines_of(val).filter(T.strip(F.col("line")) != ""), lines_of(train), "line", ("val_lines", "val_lines_in_train"))
-    content = arm(fingerprints(val, "_k").select("h").distinct(), fingerprints(train, "_k"), "h", ("val_shingles", "val_shingles_in_train"))
+    hashed = lambda df, c="text": df.select(F.sha2(c, 256).alias("h"))
+    documents = arm(hashed(val), hashed(train), ("val_docs", "val_docs_in_train"))
+    lines = arm(hashed(lines_of(val).filter(T.strip(F.col("line")) != ""), "line"), hashed(lines_of(train), "line"), ("val_lines", "val_lines_in_train"))
+    content = arm(fingerprints(val, "_k").select("h").distinct(), fingerprints(train, "_k"), ("val_shingles", "val_shingles_in_train"))
     return documents.crossJoin(lines).crossJoin(content)  # three rows of counts
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import let
@@ -18,11 +18,15 @@ def characters(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.explode(F.split(text, "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
 
 
+def gram_list(text: str, order: int) -> Column:
+    """All grams of a text, repeats included."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return let(chars, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - order + 1, F.lit(0))), lambda _, i: F.concat(*(F.get(c, i + k) for k in range(order)))))
+
+
 def grams(df: DataFrame, order: int, text: str = "text") -> DataFrame:
     """(gram, n) over each text's own characters."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    found = let(chars, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - order + 1, F.lit(0))), lambda _, i: F.concat(*(F.get(c, i + k) for k in range(order)))))
-    return df.select(F.explode(found).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return df.select(F.explode(gram_list(text, order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def contexts(counts: DataFrame, order: int) -> DataFrame:
@@ -47,21 +51,18 @@ def unknown_characters(df: DataFrame, vocab: DataFrame, text: str = "text") -> D
 def baselines(df: DataFrame, seed: int, fraction: float, order: int = 3) -> DataFrame:
     """Uniform, frequency and n-gram cross-entropy of the validation side, in nats, bits and choices.
 
-    Counting is per document on both sides; only gram counts meet in a join, never positions: each
-    validation gram carries its own count.
+    Both sides are counted in one pass over characters and one over grams.  A context's grams are summed apart from
+    its size, ln((n + 1) / (d + v)) being a difference, so that no gram meets its context in a join.
     """
-    sided = hash_split(df, seed, fraction).select("text", "split")
-    train, val = sided.filter("split = 'train'"), sided.filter("split = 'val'")
-    tc, vc = characters(train), characters(val)
-    v = sided.select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).filter("ch <> ''").agg(F.count_distinct("ch").alias("v"))
-    tg = grams(train, order)
-    ctx = contexts(tg, order)
-    vg = grams(val, order).toDF("gram", "m").withColumn("ctx", F.substring("gram", 1, order - 1))
-    total = tc.agg(F.sum("n").alias("t"))
-    freq = vc.toDF("ch", "m").join(tc, "ch", "left").crossJoin(total).crossJoin(v)
-    freq = freq.agg((-F.sum(F.col("m") * F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.col("t") + F.col("v")))) / F.sum("m")).alias("nats"))
-    tri = vg.join(tg, "gram", "left").join(ctx, "ctx", "left").crossJoin(v)
-    tri = tri.agg((-F.sum(F.col("m") * F.ln((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("d", F.lit(0)) + F.col("v")))) / F.sum("m")).alias("nats"))
+    sided = hash_split(df, seed, fraction).select("text", (F.col("split") == "val").alias("held"))
+    both = (F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("m"))
+    chars = sided.select("held", F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(*both)
+    whole = chars.agg(F.count("*").alias("v"), F.sum("n").alias("t"))  # one row
+    v = whole.select("v")
+    freq = chars.crossJoin(whole).agg((-F.sum(F.col("m") * F.ln((F.col("n") + 1) / (F.col("t") + F.col("v")))) / F.sum("m")).alias("nats"))
+    counts = sided.select("held", F.explode(gram_list("text", order)).alias("gram")).groupBy("gram").agg(*both)
+    ctx = counts.groupBy(F.substring("gram", 1, order - 1).alias("ctx")).agg(F.sum("n").alias("d"), F.sum("m").alias("m"), F.sum(F.col("m") * F.ln(F.col("n") + 1)).alias("s"))
+    tri = ctx.crossJoin(v).agg(((F.sum(F.col("m") * F.ln(F.col("d") + F.col("v"))) - F.sum("s")) / F.sum("m")).alias("nats"))
     named = v.select(F.lit("uniform").alias("model"), F.ln("v").alias("nats")).unionByName(freq.select(F.lit("frequency").alias("model"), "nats")).unionByName(tri.select(F.lit(f"{order}-gram").alias("model"), "nats"))
     return named.select("model", F.round("nats", 9).alias("nats"), F.round(F.col("nats") / F.ln(F.lit(2.0)), 9).alias("bits"), F.round(F.exp("nats"), 7).alias("choices"))
 

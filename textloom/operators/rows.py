@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.splits import drawn
+
 IGNORE = -1
 
 
@@ -75,19 +73,18 @@ def pair_refusal(prompt: Column, chosen: Column, rejected: Column, block: int) -
 
 
 def fim(df: DataFrame, rate: float, spm_rate: float, seed: int, epoch: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, prefix, middle, suffix, order): fill-in-the-middle parts of each text, drawn by its own id; untouched rows have only a prefix."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                draw, t = random.Random(f"fim:{seed}:{epoch}:{i}"), t or ""
-                if draw.random() >= rate or len(t) < 2:
-                    rows.append((i, t, "", "", "plain"))
-                    continue
-                spm = draw.random() < spm_rate
-                a, b = sorted(draw.sample(range(len(t) + 1), 2))
-                rows.append((i, t[:a], t[a:b], t[b:], "spm" if spm else "psm"))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)] if rows else [pa.array([], k) for k in (pa.int64(), *[pa.string()] * 4)], names=["doc_id", "prefix", "middle", "suffix", "arrangement"])
-
-    return df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, prefix string, middle string, suffix string, arrangement string")
+    """(doc_id, prefix, middle, suffix, arrangement): fill-in-the-middle parts of each text, drawn by hash from its own id; untouched rows have only a prefix.
+
+    The two cuts are different places, every pair of them as likely; null counts as empty, and a text under two characters is left alone.
+    """
+    draw = lambda what: drawn(F.concat(F.lit(f"fim:{seed}:{epoch}:{what}:"), F.col(id_column).cast("string")))
+    chance = lambda what, p: draw(what) < int(p * 2**32)
+    x = df.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"), chance("rate", rate).alias("hit"), chance("spm", spm_rate).alias("spm"), draw("a").alias("a"), draw("b").alias("b"))
+    x = x.withColumn("n", F.length("t").cast("long")).withColumn("hit", F.col("hit") & (F.col("n") >= 2))
+    x = x.withColumn("a", F.col("a") % (F.col("n") + 1)).withColumn("b", F.col("b") % F.greatest(F.col("n"), F.lit(1)))
+    x = x.withColumn("b", F.col("b") + F.when(F.col("b") >= F.col("a"), 1).otherwise(0))
+    lo, hi = (f("a", "b").cast("int") for f in (F.least, F.greatest))
+    part = lambda start, size: F.when(F.col("hit"), F.substring(F.col("t"), start, size)).otherwise("")
+    prefix = F.when(F.col("hit"), F.substring(F.col("t"), F.lit(1), lo)).otherwise(F.col("t"))
+    order = F.when(~F.col("hit"), "plain").when(F.col("spm"), "spm").otherwise("psm")
+    return x.select("doc_id", prefix.alias("prefix"), part(lo + 1, hi - lo).alias("middle"), part(hi + 1, F.col("n").cast("int")).alias("suffix"), order.alias("arrangement"))

@@ -78,7 +78,8 @@ def ascii_fold(spark, d):
     return table(spark, d, "documents").select("doc_id", folded("text").alias("folded"))
 
 
-@query("decode_ladder", None)
+@query("decode_ladder", f"""with x as (select doc_id, text t, coalesce(length(text), 0) > 0 and not contains(text, chr(0)) and 1 - length(regexp_replace(text, '[^\\pC\\pZ]|[ \\n\\r\\t]', '', 'g')) / length(text) >= 0.9 ok, regexp_replace(coalesce(text, ''), '[{S}]+', '', 'g') <> '' words from documents)
+ select doc_id || '.txt' path, case when ok and words then sha1(t) end text_sha, case when ok and words then 'text' else 'refused' end kind, case when ok and words then ['utf-8', 'utf-16', 'utf-8-sig'][doc_id % 3 + 1] end encoding, case when t is null or (t = '' and doc_id % 3 <> 2) then 'empty' when not ok then 'not text' when not words then 'no words' else 'read' end word from x""")
 def decode_ladder(spark, d):
     """Texts in several encodings, read back: UTF-8, UTF-16 with a mark, Latin-1 bytes."""
     x = table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8"))).alias("content"))

@@ -135,6 +135,10 @@ def trace_scores(spark, d):
     return s.groupBy("split").agg(F.count("*").alias("examples"), F.round(F.avg(F.col("exact").cast("double")), 9).alias("trace_exact"), F.round(F.try_divide(F.sum("m"), F.sum("n")), 9).alias("line_prefix_accuracy"))
 
 
-@query("patience", None)
+@query("patience", """with recursive e as (select user_id run, event_id step, value, row_number() over (partition by user_id order by event_id) i from events where value is not null),
+ w as (select distinct run, 0::bigint i, 'inf'::double best, null::bigint best_step, 0 bad, null::bigint stop_step, null::varchar reason from e
+ union all select w.run, e.i, case when isfinite(e.value) and e.value < best - 0.5 then e.value else best end, case when isfinite(e.value) and e.value < best - 0.5 then e.step else best_step end, case when isfinite(e.value) and e.value < best - 0.5 then 0 else bad + 1 end,
+  case when not isfinite(e.value) or (e.value >= best - 0.5 and bad + 1 >= 5) then e.step end, case when not isfinite(e.value) then 'not finite' when e.value >= best - 0.5 and bad + 1 >= 5 then 'no improvement' end from w join e on e.run = w.run and e.i = w.i + 1 where w.reason is null)
+ select run, case when best_step is not null then best end best, best_step, stop_step, reason from w qualify row_number() over (partition by run order by i desc) = 1""")
 def patience(spark, d):
     return G.patience(_metrics(spark, d).filter("value is not null"), "run", "step", "value", 5, 0.5)

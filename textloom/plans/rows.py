@@ -103,7 +103,12 @@ def fim_rows(spark, d):
     return r.select("doc_id", F.concat("prefix", "middle", "suffix").alias("joined"))
 
 
-@query("fim_parts", None)
+DRAW = "('0x' || substr(md5('fim:1337:0:{}:' || doc_id), 1, 8))::bigint"
+
+
+@query("fim_parts", f"""with d as (select doc_id, coalesce(text, '') t, length(coalesce(text, '')) n, {DRAW.format('rate')} < 2147483648 hit, {DRAW.format('spm')} < 2147483648 spm, {DRAW.format('a')} a, {DRAW.format('b')} b from documents),
+ m as (select doc_id, t, n, spm, hit and n >= 2 hit, a % (n + 1) a, b % greatest(n, 1) b from d), c as (select *, least(a, b + (b >= a)::int) lo, greatest(a, b + (b >= a)::int) hi from m)
+ select doc_id, case when hit then t[:lo] else t end prefix, case when hit then substr(t, lo + 1, hi - lo) else '' end middle, case when hit then substr(t, hi + 1) else '' end suffix, case when not hit then 'plain' when spm then 'spm' else 'psm' end arrangement from c""")
 def fim_parts(spark, d):
     return R.fim(table(spark, d, "documents"), 0.5, 0.5, 1337, 0)
 

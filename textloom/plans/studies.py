@@ -90,6 +90,6 @@ def mixed_batches(spark, d):
     return U.mixed(docs.filter("lang = 'en'").select("doc_id"), docs.filter("lang = 'fr'").select("doc_id"), "doc_id", 8, 0.25)
 
 
-@query("payload_leaves", None)
+@query("payload_leaves", "select event_id, j.key path, j.value::varchar as value from events, json_each(props) j where props is not null")
 def payload_leaves(spark, d):
     return U.leaves(table(spark, d, "events").filter("props is not null").select("event_id", "props"), "props")
