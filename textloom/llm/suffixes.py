@@ -295,9 +295,9 @@ def repeats(rows: DataFrame, spark: SparkSession, length: int = LENGTH) -> DataF
     copied = scratch.keep(blocks.filter("c > 1").select(*key, "c"), "copied")
     # blocks of very many copies are HOT_SHARE at most, so they are broadcast and their rows need not meet
     bar = max(HOT, (copied.agg(F.sum("c")).first()[0] or 0) // HOT_SHARE)
-    marked = shared.join(F.broadcast(copied.filter(F.col("c") > bar).withColumn("hot", F.lit(True)).drop("c")), key, "left")
-    few = marked.filter("hot is null").drop("hot").join(copied.filter(F.col("c") <= bar).drop("c"), key, "left_semi")
-    whole = marked.filter("hot").drop("hot").unionByName(few).select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    hot = F.broadcast(copied.filter(F.col("c") > bar).drop("c"))
+    few = shared.join(hot, key, "left_anti").join(copied.filter(F.col("c") <= bar).drop("c"), key, "left_semi")
+    whole = shared.join(hot, key, "left_semi").unionByName(few).select("row", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     # blocks that occur once, and one of each other block of their cores to compare them with
     mixed = blocks.groupBy("core").agg(F.count_if(F.col("c") == 1).alias("s"), F.count("*").alias("n")).filter("s > 0 and n > 1")
     mixed = scratch.keep(mixed.select("core", "n"), "mixed")
