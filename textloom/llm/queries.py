@@ -11,6 +11,8 @@ from textloom.llm.html import op4_html_extraction
 from textloom.llm.langid import op8_language_id
 from textloom.llm.lm import op5_lm_scoring
 from textloom.llm.media import op7_media_columns
+from textloom.llm.merkle import ORACLE as MERKLE_SQL
+from textloom.llm.merkle import op11_merkle_manifest
 from textloom.llm.packing import op1_best_fit_packing
 from textloom.llm.pii import op3_pii
 from textloom.llm.simhash import op9_simhash_near_dedup
@@ -28,6 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": MERKLE_SQL,
+}
