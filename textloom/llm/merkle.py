@@ -85,7 +85,7 @@ def trees(nodes: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, Dat
         stack.append(blocks)
         now = blocks.select("key", F.col("block").alias("place"), F.element_at(F.element_at("levels", -1), 1).alias("node"))
         k += 1
-        if not sizes.agg(F.max("n")).first()[0] or sizes.agg(F.max("n")).first()[0] <= SPAN:
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= SPAN:
             break
     roots = now.select("key", "node")
     above = now.select("key", F.col("place").alias("block"), F.array().cast("array<struct<left:string,right:string>>").alias("above"))
