@@ -155,7 +155,8 @@ def prefix_trie(conversations: DataFrame, spark: SparkSession) -> DataFrame:
 
     A null role or text is empty and a null turn comes first; repeated rows are turns of their own; turns of one
     number order by a digest of role and text.  Rows without a conv_id belong to no conversation and are left
-    out.  Conversations and texts of any length are taken whole; an empty table has no conversations and no
+    out.  A remainder of a
+    negative conv_id is negative, as in SQL.  Conversations and texts of any length are taken whole; an empty table has no conversations and no
     root; further columns are not read.
     """
     scratch = Scratch(spark, "trie")
