@@ -10,6 +10,7 @@ from textloom.operators import records as R
 from textloom.operators import splits
 from textloom.plans.corpus import FRACTION, PATH, SEED, SPLIT, SURVIVORS
 from textloom.plans.registry import query, table
+from textloom.streaming import probe
 
 SIDED = f"(select doc_id, text, {SPLIT} split from documents join ({SURVIVORS}) using (doc_id))"
 METRICS = "(select user_id run, event_id step, value, event_type kind from events)"
@@ -194,6 +195,21 @@ def study_state(spark, d):
     return a.select("run", "issues", F.when(~F.col("ok"), "failed").when(F.col("n") < 50, "running").otherwise("done").alias("state"))
 
 
+@query("study_states", """with l as (select user_id run, case when event_type = 'signup' then 'start' when event_type = 'error' and value < 0.5 then 'end' else 'metric' end kind, event_id // 2 step, case when event_id % 997 = 0 then null else value end value, case when value < 0.2 then 'complete' when value < 0.4 then 'failed' end note, ts from events),
+ t as (select run, bool_or(two) two from (select run, step, count(distinct coalesce(value, 'nan'::double)) > 1 two from l where kind = 'metric' group by all) group by run),
+ r as (select run, max(step) filter (kind = 'metric') step, max(step) filter (kind = 'start') planned, max(ts) seen, max(ts) filter (kind = 'metric') progress, bool_or(kind = 'metric' and (value is null or not isfinite(value))) odd, arg_max(case when note in ('complete', 'failed', 'interrupted') then note else 'failed' end, ts) filter (kind = 'end') ended from l group by run),
+ a as (select r.*, two, (epoch_us(timestamp '2024-01-31 00:00:00') - epoch_us(coalesce(progress, seen))) / 1e6 age from r left join t using (run)), b as (select *, age > case when progress is null then 120 else 21600 end late from a)
+ select run, case when two or odd then 'failed' when ended is not null then ended when late then 'stalled' else 'running' end status, case when two then 'a step has two values' when odd then 'not finite' when ended is not null then 'study ' || ended when late and progress is null then 'nothing after the start' when late then 'no progress' when progress is null then 'awaiting steps' else 'active' end reason,
+ step, planned, round(greatest(age, 0), 1) progress_age_seconds from b""")
+def study_states(spark, d):
+    """Each run's state at a time, the batch form of the live probe: ends, faults and silence by its lines."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "start").when((F.col("event_type") == "error") & (F.col("value") < 0.5), "end").otherwise("metric")
+    note = F.when(F.col("value") < 0.2, "complete").when(F.col("value") < 0.4, "failed")
+    lines = e.select(F.col("user_id").alias("run"), kind.alias("kind"), F.floor(F.col("event_id") / 2).alias("step"), F.when(F.col("event_id") % 997 != 0, F.col("value")).alias("value"), note.alias("note"), "ts")
+    return probe.study_states(lines, F.lit("2024-01-31 00:00:00"), stall_seconds=21600)
+
+
 @query("corpus_inspection", "select source, count(*) docs, cast(sum(length(text)) as bigint) chars, cast(sum(strlen(text)) as bigint) bytes, count(distinct sha256(text)) distinct_texts, cast(sum(len(string_split(text, ' '))) as bigint) words, round(sum(len(string_split(text, ' '))) / nullif(sum(strlen(text)), 0), 9) words_per_byte from documents group by source")
 def corpus_inspection(spark, d):
     """Audit of a corpus by source: documents, characters, bytes, distinct texts, tokens and tokens a byte."""
