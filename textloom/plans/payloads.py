@@ -8,12 +8,13 @@ from textloom.operators import specs
 from textloom.plans.registry import query, table
 
 
-@query("spec_changes", """with l as (select l_orderkey id, l_linenumber k, l_tax >= 0.08 and l_linenumber % 3 = 0 retyped, l_discount >= 0.1 raised from lineitem),
+@query("spec_changes", """with l as (select l_orderkey id, l_linenumber k, bool_or(l_tax >= 0.08 and l_linenumber % 3 = 0) retyped, bool_or(l_discount >= 0.1) raised from lineitem group by l_orderkey, l_linenumber),
  o as (select id, min(k) filter (retyped) k, bool_or(raised) raised from l group by id), n as (select l.id, count(*) place from l join o using (id) where l.k <= o.k group by l.id)
  select id, case when place is not null then 'parameter ' || place || ' has another type' when raised then 'requires changed' end change from o left join n using (id)""")
 def spec_changes(spark, d):
     """A specification made of each order's lines against a draft in other names and another order, some types and bounds altered."""
-    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("int").alias("k"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("n"), (F.col("l_discount") >= 0.1).cast("int").alias("raised"), ((F.col("l_tax") >= 0.08) & (F.col("l_linenumber") % 3 == 0)).alias("retyped"))
+    high, other = F.col("l_discount") >= 0.1, (F.col("l_tax") >= 0.08) & (F.col("l_linenumber") % 3 == 0)
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("int").alias("k")).agg(F.min("l_partkey").alias("part"), F.sum("l_quantity").cast("int").alias("n"), F.bool_or(high).cast("int").alias("raised"), F.bool_or(other).alias("retyped"))
     named = lambda prefix: F.concat(F.lit(prefix), F.col("k").cast("string"))
 
     def param(prefix, kind):
