@@ -10,7 +10,7 @@ from textloom.sources import files, sinks
 
 
 def test_folder_corpus_and_sink(spark, tmp_path):
-    root = tmp_path / "in"
+    root = tmp_path / "node_modules" / "a+b(1)"  # what is above the root doesn't count, and its name is no pattern
     for name, data in {"a.txt": b"alpha text", "b.log": b"alpha text", "sub/c.md": ("日" * 4000).encode(), "node_modules/d.txt": b"no", "e.png": b"\x89PNG", "f.bin2": b"a\0b", "g.txt": b"x", "readme.txt": b"about this"}.items():
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(data)
@@ -26,22 +26,17 @@ def test_folder_corpus_and_sink(spark, tmp_path):
     assert "readme.txt" not in {r.path.rpartition("/")[2] for r in sinks.user_files(sinks.reasons(found, str(root))).collect()}
 
 
-def test_split_corpus_sink(spark, tmp_path):
-    rows = [("a", "one", "train", True, None, "h1"), ("b", "two", "validation", True, None, "h2"), ("c", "x", "train", False, "empty", "h3")]
-    df = spark.createDataFrame(rows, "path string, text string, split string, included boolean, reason string, sha256 string")
-    lock = sinks.write_split_corpus(df, str(tmp_path / "o"))
-    assert lock == {"splits": {"train": 1, "validation": 1}, "records": 3}
-    assert spark.read.parquet(str(tmp_path / "o/provenance")).count() == 3 and "| train | 1 |" in sinks.card(lock, "t")
-    both = df.union(spark.createDataFrame([("d", "one", "validation", True, None, "h1")], df.schema))
-    with pytest.raises(ValueError):
-        sinks.write_split_corpus(both, str(tmp_path / "p"))
-
-
 def test_logs(spark, tmp_path):
     log = str(tmp_path / "log")
     assert sinks.append_record(spark, log, {"run": "a", "step": 1}) and sinks.append_record(spark, log, {"run": "a", "step": 2})
     rows, late = sinks.read_metrics(spark, log, "run string, step long", 1)
     assert rows.count() == 1 and late == 1
+    for name, steps in (("rise", (1, 3, 4)), ("fall", (1, 5, 3)), ("twice", (2, 2))):
+        (tmp_path / f"{name}.json").write_text("".join(json.dumps({"run": "a", "step": s}) + "\n" for s in steps))
+    assert sinks.read_metrics(spark, str(tmp_path / "rise.json"), "run string, step long", 3)[1] == 1
+    for name in ("fall", "twice"):
+        with pytest.raises(ValueError):
+            sinks.read_metrics(spark, str(tmp_path / f"{name}.json"), "run string, step long", 9)
     (tmp_path / "log" / "part-x.txt").write_text("{broken\n")
     with pytest.raises(Exception):
         sinks.read_metrics(spark, log, "run string, step long", 1)[0].count()
@@ -92,3 +87,11 @@ def test_fills_and_reach():
             sums |= {s + n for s in sums}
         total = sum(lengths)
         assert splits.best_fraction(lengths, 0.3) == max(s for s in sums if s <= int(total * 0.3)) / total
+
+
+def test_json_is_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "lock.json")
+    for value in ({"a": 1}, {"a": 2, "b": "é"}):
+        sinks.replace_json(spark, path, value)
+        assert json.loads((tmp_path / "lock.json").read_text()) == value
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["lock.json"]

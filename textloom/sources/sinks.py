@@ -1,23 +1,28 @@
-"""Corpus, provenance, log and conversation sinks, and the scan of a folder into a corpus with a reason for each file."""
+"""Corpus, log and conversation sinks, and the scan of a folder into a corpus with a reason for each file."""
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import dedup
+from textloom.operators import dedup, ledger
 from textloom.sources import files
 
 # Directories and suffixes that a folder scan passes over, containers that are opened in spite of theirs.
 SKIP_DIRS = (".git", "__pycache__", ".venv", "node_modules", ".idea", ".vscode")
 BINARY = (
-    ".png .jpg .jpeg .gif .bmp .ico .webp .tif .tiff .mp3 .mp4 .wav .avi .mov .mkv .flac .ogg .zip .gz .tar .7z .rar .bz2 .xz "
-    ".exe .dll .so .dylib .bin .o .obj .class .pt .pth .ckpt .safetensors .onnx .npy .npz .pdf .docx .xlsx .pptx .sqlite .db .parquet"
-).split()
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".tif", ".tiff", ".mp3", ".mp4", ".wav",
+    ".avi", ".mov", ".mkv", ".flac", ".ogg", ".zip", ".gz", ".tar", ".7z", ".rar", ".bz2", ".xz",
+    ".exe", ".dll", ".so", ".dylib", ".bin", ".o", ".obj", ".class", ".pt", ".pth", ".ckpt", ".safetensors",
+    ".onnx", ".npy", ".npz", ".pdf", ".docx", ".xlsx", ".pptx", ".sqlite", ".db", ".parquet",
+)
 HANDLED = (".docx", ".epub", ".html", ".htm", ".xhtml")
 PROBE = 8192
 
@@ -40,11 +45,13 @@ def looks_like_text(content: Column) -> Column:
 
 def reasons(found: DataFrame, root: str, suffixes: list[str] | None = None) -> DataFrame:
     """Adds reason to (path, content) rows: the first that holds against a file, or 'text'."""
-    inner = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", "\\.") + "/?", "")
+    plain = re.sub("^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    at = F.instr("path", F.lit(plain))
+    inner = F.when(at > 0, F.substring("path", at + len(plain), F.length("path"))).otherwise(F.col("path"))
     skipped = F.arrays_overlap(F.split(inner, "/"), F.array(*(F.lit(x) for x in SKIP_DIRS)))
     kind = suffix(F.col("path"))
     wanted = F.lit(True) if suffixes is None else kind.isin(suffixes)
-    binary = kind.isin(BINARY) & ~kind.isin(*HANDLED)
+    binary = kind.isin(*BINARY) & ~kind.isin(*HANDLED)
     reason = F.when(skipped, "in an ignored directory").when(~wanted, F.concat(F.lit("filtered out by suffix ("), F.when(kind == "", "none").otherwise(kind), F.lit(")")))
     reason = reason.when(binary, F.concat(F.lit("binary file type ("), kind, F.lit(")"))).when(~kind.isin(*HANDLED) & ~looks_like_text(F.col("content")), "content is not text").otherwise("text")
     return found.withColumn("inner", inner).withColumn("reason", reason)
@@ -79,39 +86,17 @@ def write_corpus(documents: DataFrame, path: str) -> None:
     ordered.write.mode("errorifexists").option("lineSep", "\n\n").text(path)
 
 
-def write_split_corpus(records: DataFrame, path: str) -> dict:
-    """A corpus by split with the provenance of every record, included or not, and its lock; existing output is refused.
-
-    ``records`` has path, text, split, included, reason and sha256.  The lock is written last and put in place whole,
-    so a folder without one is not finished.
-    """
-    records.filter("included").select("path", "text", "split").write.mode("errorifexists").partitionBy("split").parquet(f"{path}/corpus")
-    records.drop("text").write.mode("errorifexists").parquet(f"{path}/provenance")
-    counts = {r["split"]: r["n"] for r in records.filter("included").groupBy("split").agg(F.count("*").alias("n")).collect()}
-    overlap = records.filter("included").groupBy("sha256").agg(F.count_distinct("split").alias("n")).filter("n > 1").count()
-    if overlap:
-        raise ValueError(f"{overlap} texts are on both sides")
-    lock = {"splits": counts, "records": records.count()}
-    replace_json(records.sparkSession, f"{path}/lock.json", lock)
-    return lock
-
-
-def card(lock: dict, title: str) -> str:
-    """A short dataset card of a lock, as markdown."""
-    rows = "".join(f"| {k} | {v} |\n" for k, v in sorted(lock["splits"].items()))
-    return f"# {title}\n\n{lock['records']} records were looked at.\n\n| Split | Documents |\n|-|-|\n{rows}"
-
-
 def replace_json(spark: SparkSession, path: str, value) -> None:
-    """Writes a small JSON file beside its place and moves it there, on any file system that Spark knows."""
+    """Writes a small JSON file beside its place and renames it over the old one, on any file system that Spark knows: a reader finds one or the other."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     to, own = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}")
     fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(own)
     out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
     out.close()
-    fs.delete(to, False)
-    fs.rename(own, to)
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(to.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(own, to, options)
 
 
 def append_record(spark: SparkSession, path: str, row: dict) -> bool:
@@ -119,7 +104,7 @@ def append_record(spark: SparkSession, path: str, row: dict) -> bool:
     try:
         spark.createDataFrame([(json.dumps(row, sort_keys=True),)], "value string").coalesce(1).write.mode("append").text(path)
         return True
-    except Exception:  # noqa: BLE001  a log must not end a run
+    except (Py4JJavaError, PySparkException):  # the store's failure; a log must not end a run
         return False
 
 
@@ -129,11 +114,15 @@ def rewrite_metrics(log: DataFrame, completed: int, initial: DataFrame, path: st
 
 
 def read_metrics(spark: SparkSession, path: str, schema: str, completed: int) -> tuple[DataFrame, int]:
-    """(committed rows, uncommitted count) of a log in which a bad line or a step that doesn't rise is an error."""
+    """(committed rows, uncommitted count) of a log in which a bad line or a step that doesn't rise is an error.
+
+    Lines are in order of their files' times and names, then of their place in the file.
+    """
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    late = rows.groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("step").alias("k")).filter("n <> k").count()
+    line = F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    late = ledger.increasing(rows.select("*", line.alias("line_no")), "run", "step").select("run").distinct().count()
     if late:
-        raise ValueError(f"{late} runs repeat a step")
+        raise ValueError(f"{late} runs have a step that does not rise")
     return rows.filter(F.col("step") <= completed), rows.filter(F.col("step") > completed).count()
 
 
