@@ -87,7 +87,8 @@ def scan(train: DataFrame, val: DataFrame) -> DataFrame:
     return documents.crossJoin(lines).crossJoin(content)  # three rows of counts
 
 
-def _call(x: Column, arm: str) -> Column:
+def call(x: Column, arm: str) -> Column:
+    """An arm's word for the share of the held-out side found in training."""
     bad, odd = BARS[arm]
     return F.when(x >= bad, "CONTAMINATED").when(x >= odd, "SUSPECT").otherwise("CLEAN")
 
@@ -97,7 +98,7 @@ def verdict(counts: DataFrame, doc_aligned: bool = True) -> DataFrame:
     share = lambda a, b: F.round(F.col(a) / F.greatest(F.col(b), F.lit(1)), 9)
     df = counts.withColumn("doc_frac", share("val_docs_in_train", "val_docs")).withColumn("line_frac", share("val_lines_in_train", "val_lines")).withColumn("content_frac", share("val_shingles_in_train", "val_shingles"))
     read_lines = (F.col("val_lines") >= MIN_LINES) | ((F.col("val_lines") >= DECISIVE_LINES) & (F.col("line_frac") >= DECISIVE))
-    calls = {"content": _call(F.col("content_frac"), "content"), "documents": F.when(F.lit(doc_aligned), _call(F.col("doc_frac"), "documents")), "lines": F.when(read_lines, _call(F.col("line_frac"), "lines"))}
+    calls = {"content": call(F.col("content_frac"), "content"), "documents": F.when(F.lit(doc_aligned), call(F.col("doc_frac"), "documents")), "lines": F.when(read_lines, call(F.col("line_frac"), "lines"))}
     rank = lambda c: F.when(c == "CONTAMINATED", 2).when(c == "SUSPECT", 1).when(c == "CLEAN", 0)
     worst = F.greatest(*(rank(c) for c in calls.values()))
     df = df.withColumn("verdict", F.element_at(F.array(*(F.lit(x) for x in ("CLEAN", "SUSPECT", "CONTAMINATED"))), worst + 1))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -42,22 +41,3 @@ def mixed(target: DataFrame, replay: DataFrame, order: str, batch: int, fraction
     share = min(batch - 1, max(1, round(fraction * batch)))
     placed = lambda df, n, name: running(df, F.lit(1), order).select(order, F.lit(name).alias("origin"), F.floor(F.col("before") / n).alias("batch"))
     return placed(target, batch - share, "target").unionByName(placed(replay, share, "replay"))
-
-
-def leaf_paths(payload: str) -> list[tuple[str, str]]:
-    """(dotted path, JSON) of the leaves of a nested object; lists and empty objects are leaves."""
-
-    def walk(node, path):
-        if isinstance(node, dict) and node:
-            for k, v in node.items():
-                yield from walk(v, [*path, k])
-        else:
-            yield ".".join(path), json.dumps(node)
-
-    return list(walk(json.loads(payload), []))
-
-
-def leaves(df: DataFrame, column: str) -> DataFrame:
-    """One row for each leaf of a JSON column of any shape."""
-    found = F.udf(lambda s: leaf_paths(s) if s else [], "array<struct<path:string,value:string>>", useArrow=True)
-    return df.withColumn("leaf", F.explode(found(column))).select("*", "leaf.path", "leaf.value").drop("leaf", column)

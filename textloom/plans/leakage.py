@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions import text as T
 from textloom.functions.text import RE2_SPACE as S
 from textloom.operators import leakage as K
+from textloom.operators import splits
+from textloom.plans.corpus import FRACTION, NORM, SEED, SPLIT, SURVIVORS
 from textloom.plans.registry import query, table
 
 
@@ -60,7 +63,22 @@ def leak_verdict(spark, d):
     return K.verdict(K.scan(*_sides(spark, d)))
 
 
-@query("holdout_eligibility", "with x(run, val_chars, split_verdict, leak_verdict) as (values ('a', 0, null, 'CLEAN'), ('b', 10, 'corpus', 'CLEAN'), ('c', 10, null, 'SUSPECT'), ('d', 10, null, 'CLEAN'), ('e', 10, null, null)) select run, val_chars, split_verdict, leak_verdict, case when val_chars = 0 then 'no held-out text' when split_verdict is not null then 'split: ' || split_verdict when coalesce(leak_verdict, 'SCAN_FAILED') <> 'CLEAN' then 'leakage: ' || coalesce(leak_verdict, 'SCAN_FAILED') end reason, val_chars <> 0 and split_verdict is null and coalesce(leak_verdict, 'SCAN_FAILED') = 'CLEAN' eligible from x")
+#: Each corpus (lang, source): its sides by hash, how near the held-out share comes to the request, and normalized texts on both sides.
+ELIGIBILITY = f"""with u as ({SURVIVORS}), h as (select doc_id, lang, source, text, {SPLIT} split, {NORM} norm, length(text) n from documents join u using (doc_id)),
+ c as (select lang, source, coalesce(sum(n) filter (split = 'val'), 0)::bigint val_chars, sum(n) total, max(n) top, count(*) filter (split = 'val') docs from h group by lang, source),
+ m as (select v.lang, v.source, count(*) met from h v where split = 'val' and exists (select 1 from h t where t.split = 'train' and t.lang = v.lang and t.source = v.source and t.norm = v.norm) group by all),
+ f as (select c.*, val_chars / total achieved, 1 - top / total reach, coalesce(met, 0) / greatest(docs, 1) leak from c left join m using (lang, source)),
+ v as (select *, case when val_chars = 0 then 'empty' when achieved >= {FRACTION} * 0.8 - 1e-9 then null when least(reach, {FRACTION}) < {FRACTION} * 0.8 - 1e-9 then 'corpus' else 'splitter' end split_verdict, case when leak >= .1 then 'CONTAMINATED' when leak >= .01 then 'SUSPECT' else 'CLEAN' end leak_verdict from f)
+ select lang, source, val_chars, split_verdict, leak_verdict, case when val_chars = 0 then 'no held-out text' when split_verdict is not null then 'split: ' || split_verdict when leak_verdict <> 'CLEAN' then 'leakage: ' || leak_verdict end reason from v"""
+
+
+@query("holdout_eligibility", f"select *, reason is null eligible from ({ELIGIBILITY})")
 def holdout_eligibility(spark, d):
-    rows = [("a", 0, None, "CLEAN"), ("b", 10, "corpus", "CLEAN"), ("c", 10, None, "SUSPECT"), ("d", 10, None, "CLEAN"), ("e", 10, None, None)]
-    return K.eligibility(spark.createDataFrame(rows, "run string, val_chars int, split_verdict string, leak_verdict string"))
+    """What stands first against a claim on each corpus's held-out side: no text, the split, or leakage."""
+    h = splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("lang", "source", "split", T.normalized_hash(F.col("text")).alias("norm"), F.length("text").alias("n"))
+    val, of = F.col("split") == "val", ["lang", "source"]
+    c = h.groupBy(*of).agg(F.coalesce(F.sum(F.when(val, F.col("n"))), F.lit(0)).alias("val_chars"), F.sum("n").alias("total"), F.max("n").alias("top"), F.count_if(val).alias("docs"))
+    met = h.filter(val).join(h.filter(~val).select(*of, "norm").distinct(), [*of, "norm"], "left_semi").groupBy(*of).agg(F.count("*").alias("met"))
+    f = c.join(met, of, "left").select(*of, "val_chars", F.lit(FRACTION).alias("requested_val_frac"), (F.col("val_chars") / F.col("total")).alias("achieved_val_frac"), F.least(1 - F.col("top") / F.col("total"), F.lit(FRACTION)).alias("achievable_val_frac"), (F.coalesce("met", F.lit(0)) / F.greatest("docs", F.lit(1))).alias("leak"))
+    v = splits.with_verdict(f).withColumnRenamed("verdict", "split_verdict").withColumn("leak_verdict", K.call(F.col("leak"), "documents"))
+    return K.eligibility(v.select(*of, "val_chars", "split_verdict", "leak_verdict"))

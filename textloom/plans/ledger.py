@@ -97,14 +97,6 @@ def provenance_consensus(spark, d):
     return g.select("lang", F.when(F.col("n") == 1, F.col("one")).alias("source"), (F.col("n") > 1).alias("arms_disagreed"))
 
 
-PAYLOAD = [("metrics.train.loss", "2.1", False), ("metrics.val.loss", "2.3", False), ("claim.best", "true", False), ("metrics.deep.val.loss", "1", False), ("claim.best", "true", True)]
-
-
-@query("claims_withheld", "with p(path, value, eligible) as (values ('metrics.train.loss', '2.1', false), ('metrics.val.loss', '2.3', false), ('claim.best', 'true', false), ('metrics.deep.val.loss', '1', false), ('claim.best', 'true', true)) select path, eligible, case when eligible or regexp_matches(path, '^metrics\\.[^.]+\\.loss$') then value end value from p")
-def claims_withheld(spark, d):
-    return G.withheld(spark.createDataFrame(PAYLOAD, "path string, value string, eligible boolean"), ["metrics.*.loss"]).select("path", "eligible", "value")
-
-
 @query("artifact_integrity", "with a as (select source k, sha1(string_agg(sha1(text), '' order by doc_id)) digest from documents group by source), r as (select source k, sha1(string_agg(sha1(text), '' order by doc_id)) digest from documents where doc_id <> 5 and source <> 'src3' group by source) select k, a.digest actual, r.digest recorded from a full join r using (k) where a.digest is distinct from r.digest")
 def artifact_integrity(spark, d):
     def digests(x):

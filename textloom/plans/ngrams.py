@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import ngrams as N
 from textloom.plans.corpus import FRACTION, SEED, SPLIT, SURVIVORS
-from textloom.plans.registry import query, table
+from textloom.plans.registry import ORACLE_SQL, query, table
 
 CHARS = "select unnest(string_split(text, '')) ch from documents"
 SIDED = f"u as ({SURVIVORS}), sided as (select doc_id, text, {SPLIT} split from documents join u using (doc_id))"
@@ -68,6 +68,10 @@ def validation_coverage(spark, d):
     return side("val").join(side("train"), "ch", "left_anti")
 
 
-@query("closed_fraction", "with m(model, nats, baseline, floor) as (values ('a', 2.1::double, 3.0::double, 1.0::double), ('b', 3.5, 3.0, 1.0), ('c', 2.0, 2.0, 2.0)) select model, nats, baseline, floor, case when baseline > floor then round((baseline - nats) / (baseline - floor), 9) end closed, case when baseline <= floor then 'no distance to close' end reason from m")
+@query("closed_fraction", f"with b as ({ORACLE_SQL['ngram_baseline']}), w as (select max(nats) filter (model = 'uniform') u, max(nats) filter (model = '3-gram') t from b) select model, nats, u baseline, case when model = 'uniform' then u else t end floor, case when model <> 'uniform' and u > t then round((u - nats) / (u - t), 9) end closed, case when model = 'uniform' or u <= t then 'no distance to close' end reason from b, w")
 def closed_fraction(spark, d):
-    return N.closed_fraction(spark.createDataFrame([("a", 2.1, 3.0, 1.0), ("b", 3.5, 3.0, 1.0), ("c", 2.0, 2.0, 2.0)], "model string, nats double, baseline double, floor double"))
+    """How far each baseline goes from the uniform one to the best; the uniform one has nowhere to go."""
+    b = N.baselines(table(spark, d, "documents"), SEED, FRACTION).select("model", "nats")
+    w = b.agg(F.max(F.when(F.col("model") == "uniform", F.col("nats"))).alias("baseline"), F.max(F.when(F.col("model") == "3-gram", F.col("nats"))).alias("best"))  # one row
+    rows = b.crossJoin(w).select("model", "nats", "baseline", F.when(F.col("model") == "uniform", F.col("baseline")).otherwise(F.col("best")).alias("floor"))
+    return N.closed_fraction(rows)

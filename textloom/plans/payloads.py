@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import specs
+from textloom.operators import payloads, specs
 from textloom.plans.registry import query, table
 
 
@@ -34,3 +34,65 @@ def spec_changes(spark, d):
     prompt = spec("total", "out", param("p", kind), clause(F.col("k").alias("o"), "i", "p", F.col("n")))
     draft = spec("sum", "result", param("q", F.when(F.col("retyped"), "bool").otherwise(kind)), clause(F.col("part").alias("o"), "j", "q", F.col("n") + F.col("raised")))
     return specs.changes(l.groupBy("id").agg(prompt.alias("prompt"), draft.alias("draft")))
+
+
+#: Four levels of an event: its numbers, its props, a list and an empty object.
+_PAYLOAD = """'{"run": {"kind": "' || event_type || '", "metrics": {"cents": ' || cast(round(value * 100) as bigint) || ', "loss": {"train": ' || event_id || ', "val": ' || user_id || '}}}, "props": ' || coalesce(props, 'null') || ', "best": ' || case when event_id % 2 = 0 then 'true' else 'false' end || ', "tags": ["a", {"b": ' || user_id || '}], "none": {}, "holdout_eligible": true}'"""
+_LEAVES = f"""with recursive r(event_id, path, value) as (select event_id, null::varchar, json({_PAYLOAD}) from events where value is not null
+ union all select r.event_id, concat_ws('.', r.path, j.key), j.value from r, json_each(r.value) j where json_type(r.value) = 'OBJECT' and r.value::varchar <> '{{}}'),
+ l as (select event_id, path, value::varchar as value from r where json_type(value) <> 'OBJECT' or value::varchar = '{{}}')"""
+_DECLARED = ["run.kind", "run.metrics.loss.*", "props.*", "run.metrics.cents"]
+
+
+def _events(spark, d):
+    return table(spark, d, "events").filter("value is not null").select("event_id", "user_id", F.expr(_PAYLOAD).alias("payload"))
+
+
+@query("payload_leaves", f"{_LEAVES} select event_id, path, value from l")
+def payload_leaves(spark, d):
+    return payloads.leaves(_events(spark, d).drop("user_id"), "payload")
+
+
+@query("payload_values", """with v as (select event_id, json_extract(props, '$.k') k, event_id % 3 kind, event_id % 5 = 0 text from events), w as (select event_id, ['int', 'bool', 'seq'][kind + 1] kind, case when text then to_json('é' || k::varchar) when event_id % 7 = 0 then to_json(event_id % 2 = 0) when event_id % 4 = 1 then json('["ab", ' || k || ', [1, "c"]]') when event_id % 11 = 0 then json(k || '.5') else k end j from v)
+ select event_id, kind, case when kind = 'int' and json_type(j) in ('BIGINT', 'UBIGINT') then j::varchar when kind = 'bool' and json_type(j) = 'BOOLEAN' then j::varchar when kind = 'seq' and json_type(j) = 'VARCHAR' then to_json(list_transform(string_split(j ->> '$', ''), lambda c: unicode(c)))::varchar when kind = 'seq' and json_type(j) = 'ARRAY' then '[[97,98],' || (j -> 1)::varchar || ',[1,[99]]]' end as value,
+ case when (kind = 'int' and json_type(j) not in ('BIGINT', 'UBIGINT')) or (kind = 'bool' and json_type(j) <> 'BOOLEAN') or (kind = 'seq' and json_type(j) not in ('VARCHAR', 'ARRAY')) then 'expected a ' || kind || ', got ' || replace(j::varchar, ', ', ',') end error from w""")
+def payload_values(spark, d):
+    """Values of several types read as the type that is asked for."""
+    k = F.get_json_object("props", "$.k")
+    e = table(spark, d, "events").select("event_id", k.alias("k"))
+    quoted = F.to_json(F.array(F.concat(F.lit("é"), F.col("k"))))
+    j = F.when(F.col("event_id") % 5 == 0, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).when(F.col("event_id") % 7 == 0, (F.col("event_id") % 2 == 0).cast("string")).when(F.col("event_id") % 4 == 1, F.concat(F.lit('["ab", '), "k", F.lit(', [1, "c"]]'))).when(F.col("event_id") % 11 == 0, F.concat("k", F.lit(".5"))).otherwise(F.col("k"))
+    kind = F.element_at(F.array(F.lit("int"), F.lit("bool"), F.lit("seq")), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select("event_id", kind.alias("kind"), payloads.typed(F.try_parse_json(j), kind).alias("t")).select("event_id", "kind", "t.value", "t.error")
+
+
+_GATED = f"""{_LEAVES}, s as ({{eligibility}}), g as (select event_id, reason from events join (select row_number() over (order by lang, source) - 1 i, reason, count(*) over () n from s) on i = user_id % n where value is not null)"""
+
+
+def _gated(spark, d):
+    """Each event's payload with what stands against the holdout of one of the corpora, dealt to users in turn."""
+    from textloom.plans.leakage import holdout_eligibility
+
+    found = holdout_eligibility(spark, d).select(F.struct("lang", "source", "reason").alias("s")).agg(F.array_sort(F.collect_list("s")).alias("s"))  # a row a corpus
+    e = _events(spark, d).crossJoin(F.broadcast(found))
+    return e.select("event_id", "payload", F.get("s", (F.col("user_id") % F.size("s")).cast("int"))["reason"].alias("reason"))
+
+
+def _gated_sql() -> str:
+    from textloom.plans.leakage import ELIGIBILITY
+
+    return _GATED.replace("{eligibility}", ELIGIBILITY)
+
+
+_IS_DECLARED = "(path = 'run.kind' or path = 'run.metrics.cents' or regexp_matches(path, '^run\\.metrics\\.loss\\.[^.]+$') or regexp_matches(path, '^props\\.[^.]+$'))"
+
+
+@query("claims_withheld", f"{_gated_sql()} select event_id, path, case when reason is null or {_IS_DECLARED} then l.value end as value from l join g using (event_id) where path <> 'holdout_eligible'")
+def claims_withheld(spark, d):
+    return payloads.withhold(_gated(spark, d), "event_id", "payload", _DECLARED)[0]
+
+
+@query("gate_fields", f"{_gated_sql()} select event_id, reason is null holdout_eligible, reason ineligible_reason, coalesce(string_agg(path, ',' order by path) filter (reason is not null and path <> 'holdout_eligible' and not {_IS_DECLARED}), '') claims_withheld from g left join l using (event_id) group by event_id, reason")
+def gate_fields(spark, d):
+    gate = payloads.withhold(_gated(spark, d), "event_id", "payload", _DECLARED)[1]
+    return gate.withColumn("claims_withheld", F.array_join("claims_withheld", ","))

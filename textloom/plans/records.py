@@ -154,12 +154,13 @@ def row_mask_audit(spark, d):
     return t.select("conv_id", ((x == sx) & (y == sy) & own).alias("same_inputs"), F.size(F.filter(y, lambda v: v != -1)).cast("long").alias("supervised"))
 
 
-@query("parameter_counts", "select n, l, v, 12 * l * n * n + v * n params, 6 * (12 * l * n * n + v * n) * 1024 flops, round(0.003 * 256 / n, 9) lr from (select unnest([128, 256, 512])::bigint n), (select unnest([4, 8])::bigint l), (select unnest([256, 1024])::bigint v)")
+@query("parameter_counts", "select p_partkey, 12 * l * n * n + v * n params, 6 * (12 * l * n * n + v * n) * 1024 flops, round(0.003 * 256 / n, 9) lr from (select p_partkey, 64 * (1 + p_size % 8)::bigint n, (2 + p_size % 5)::bigint l, (256 + p_partkey % 1000)::bigint v from part)")
 def parameter_counts(spark, d):
-    """Weights, floating-point operations a step of 1024 tokens and the width rule's learning rate of small models."""
-    grid = spark.createDataFrame([(n, k, v) for n in (128, 256, 512) for k in (4, 8) for v in (256, 1024)], "n long, l long, v long")
+    """Weights, floating-point operations a step of 1024 tokens and the width rule's learning rate of models sized by the parts."""
+    n, l, v = 64 * (1 + F.col("p_size") % 8).cast("long"), (2 + F.col("p_size") % 5).cast("long"), (256 + F.col("p_partkey") % 1000).cast("long")
+    grid = table(spark, d, "part").select("p_partkey", n.alias("n"), l.alias("l"), v.alias("v"))
     params = 12 * F.col("l") * F.col("n") * F.col("n") + F.col("v") * F.col("n")
-    return grid.select("n", "l", "v", params.alias("params"), (6 * params * 1024).alias("flops"), F.round(0.003 * 256 / F.col("n"), 9).alias("lr"))
+    return grid.select("p_partkey", params.alias("params"), (6 * params * 1024).alias("flops"), F.round(0.003 * 256 / F.col("n"), 9).alias("lr"))
 
 
 @query("time_words", "select event_id, case when s < 60 then s || 's' when s < 3600 then s // 60 || 'm' else s // 3600 || 'h ' || lpad((s % 3600 // 60)::varchar, 2, '0') || 'm' end words from (select event_id, event_id * 7 s from events)")

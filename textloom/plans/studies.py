@@ -8,9 +8,11 @@ from textloom.operators import studies as U
 from textloom.plans.registry import query, table
 
 
-@query("source_registry", "select * from (values ('tale', 'https://example.org/tale', 2000000), ('poems', 'https://example.org/poems', 500000)) s(name, url, bytes)")
+@query("source_registry", "select source as name, 'https://example.org/' || source url, cast(sum(strlen(text)) as bigint) bytes, sha256(string_agg(lang, ',' order by lang)) seal from (select source, lang, string_agg(text, '' order by doc_id) as text from documents group by source, lang) group by source")
 def source_registry(spark, d):
-    return spark.createDataFrame([("tale", "https://example.org/tale", 2000000), ("poems", "https://example.org/poems", 500000)], "name string, url string, bytes int")
+    """The sources of a corpus with their addresses, sizes and a seal of their languages."""
+    g = table(spark, d, "documents").groupBy("source", "lang").agg(F.sum(F.octet_length("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("bytes"), F.array_sort(F.collect_list("lang")).alias("langs"))
+    return g.select(F.col("source").alias("name"), F.concat(F.lit("https://example.org/"), "source").alias("url"), "bytes", F.sha2(F.array_join("langs", ","), 256).alias("seal"))
 
 
 @query("selected_paths", "with s(source, dir, suffix) as (values ('src1', 'en', '.md'), ('src2', 'fr', '.md')), x as (select doc_id, source, lang || '/f' || doc_id || case when doc_id % 2 = 0 then '.md' else '.txt' end path from documents) select doc_id from x where exists (select 1 from s where s.source = x.source and split_part(path, '/', 1) = dir and ends_with(path, suffix))")
@@ -39,9 +41,10 @@ def incomplete_arms(spark, d):
     return arms.join(scores, ["seed", "arm"], "left_anti").groupBy("seed").agg(F.array_join(F.array_sort(F.collect_list("arm")), ",").alias("missing"))
 
 
-@query("learning_rates", "select s step, round(case when s < 10 then 0.003 * (s + 1) / 10 when s >= 100 then 0.0003 else 0.0003 + 0.5 * 0.0027 * (1 + cos(pi() * (s - 10) / 90.0)) end, 12) lr from range(0, 120) r(s)")
+@query("learning_rates", "select event_id, round(case when s < 10 then 0.003 * (s + 1) / 10 when s >= 100 then 0.0003 else 0.0003 + 0.5 * 0.0027 * (1 + cos(pi() * (s - 10) / 90.0)) end, 12) lr from (select event_id, event_id % 120 s from events)")
 def learning_rates(spark, d):
-    return spark.range(120).select(F.col("id").alias("step"), F.round(U.cosine_rate(F.col("id"), 0.003, 0.0003, 10, 100), 12).alias("lr"))
+    """The rate at each logged step of runs of 120 steps."""
+    return table(spark, d, "events").select("event_id", F.round(U.cosine_rate(F.col("event_id") % 120, 0.003, 0.0003, 10, 100), 12).alias("lr"))
 
 
 @query("agreement", "with t as (select doc_id, string_split(text, ' ') a, list_transform(string_split(text, ' '), lambda w, i: case when i % (2 + doc_id % 30) = 0 then 'x' else w end) b from documents), s as (select doc_id, list_transform(list_zip(a, b), lambda z: z[1] = z[2]) same from t) select doc_id, len(list_filter(same, lambda x: x)) agree, coalesce(list_position(same, false) - 1, len(same)) first_difference from s")
@@ -72,10 +75,12 @@ def top_devices(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "label").orderBy(F.desc("label"), "vec_id").limit(4)
 
 
-@query("version_tuples", "with v(v) as (values ('550.54.15'), ('12.4'), ('driver 535.183.01 x')) select v, array_to_string(list_transform(regexp_extract_all(v, '[0-9]+'), lambda x: x::int), ',') parts from v")
+@query("version_tuples", "select event_id, array_to_string(list_transform(regexp_extract_all('driver ' || strftime(ts, '%Y-%m-%d') || '.0' || user_id || ' x', '[0-9]+'), lambda x: x::int), ',') parts from events")
 def version_tuples(spark, d):
-    v = spark.createDataFrame([("550.54.15",), ("12.4",), ("driver 535.183.01 x",)], "v string")
-    return v.select("v", F.array_join(F.transform(F.regexp_extract_all("v", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int").cast("string")), ",").alias("parts"))
+    """Numbers of a dotted or dashed name, as integers."""
+    name = F.concat(F.lit("driver "), F.date_format("ts", "yyyy-MM-dd"), F.lit(".0"), F.col("user_id").cast("string"), F.lit(" x"))
+    parts = F.transform(F.regexp_extract_all(name, F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("int").cast("string"))
+    return table(spark, d, "events").select("event_id", F.array_join(parts, ",").alias("parts"))
 
 
 @query("order_identity", "select source, sha256(string_agg(doc_id, ',' order by sha256('9:' || doc_id))) digest from documents group by source")
@@ -88,8 +93,3 @@ def order_identity(spark, d):
 def mixed_batches(spark, d):
     docs = table(spark, d, "documents")
     return U.mixed(docs.filter("lang = 'en'").select("doc_id"), docs.filter("lang = 'fr'").select("doc_id"), "doc_id", 8, 0.25)
-
-
-@query("payload_leaves", "select event_id, j.key path, j.value::varchar as value from events, json_each(props) j where props is not null")
-def payload_leaves(spark, d):
-    return U.leaves(table(spark, d, "events").filter("props is not null").select("event_id", "props"), "props")
