@@ -376,6 +376,15 @@ def test_near_duplicates_across_parts(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()} == got
 
 
+def test_near_duplicates_under_repeated_ids(spark):
+    """What stays does not hang on the order of rows that share an id."""
+    a, b = prose(60, 501), prose(60, 502)
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a), (3, a), (None, b), (None, None)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        kept = neardup.keep_one(spark, spark.createDataFrame(order, "doc_id long, text string").coalesce(1), "")
+        assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, a), (1, b), (None, b), (None, None)], "doc_id long, text string").collect()))
+
+
 def test_near_duplicates_of_short_texts(spark):
     """Every pair of a text of 8, 12 or 40 words and the same text with a word more is found."""
     texts = []

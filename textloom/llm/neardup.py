@@ -70,12 +70,12 @@ def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _content(width: int):
-    """(doc_id, digest): equal for texts with the same words."""
+    """(doc_id, seal, digest): the digests are equal for texts with the same words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests = [hashlib.blake2b(b" ".join(words_of(t.as_py())), digest_size=16).digest() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
+            digests = [hashlib.blake2b(b" ".join(words_of(t.as_py())), digest_size=16).digest() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["doc_id", "seal", "digest"])
 
     return run
 
@@ -242,17 +242,17 @@ def _across(held: DataFrame, classes: DataFrame, similarity: float, scratch: Scr
 def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, class_id): the least doc_id of the texts reachable over similarities of ``similarity`` or more.
 
-    Words and shingles are as for the fingerprints; texts with the same words are one node, null and empty
+    Ids may repeat: each of the texts of an id counts.  Words and shingles are as for the fingerprints; texts with the same words are one node, null and empty
     texts have none and are alike.  Pairs of which one has SMALL shingles or fewer are all found; of the others,
     at the threshold, 99.5 % share a key, and more above it.  Components of candidates of more than PART texts are resolved in parts whose classes meet
     again by their least members while that shrinks them; then all members are compared across classes.
     """
     scratch = Scratch(spark, "neardup")
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = scratch.keep(narrow.mapInArrow(_content(width), "doc_id long, digest binary"), "digests")
-    nodes = digests.groupBy("digest").agg(F.min("doc_id").alias("node"))
-    leads = scratch.keep(nodes.select("node"), "leads")
-    texts = narrow.join(leads, narrow.doc_id == leads.node).select("node", "text").dropDuplicates(["node"])
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("seal"), "text")
+    digests = scratch.keep(narrow.mapInArrow(_content(width), "doc_id long, seal long, digest binary"), "digests")
+    # A node is a digest, numbered; the row that stands for it is found by id and seal, as ids may repeat.
+    nodes = scratch.keep(digests.groupBy("digest").agg(F.min(F.struct("doc_id", "seal")).alias("lead")).select("digest", "lead.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    texts = narrow.join(nodes.select("doc_id", "seal", "node"), ["doc_id", "seal"]).select("node", "text").dropDuplicates(["node"])
     by_bucket = lambda df: dealt(df, spark).repartition(shuffle_parts(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b")
     met = by_bucket(scratch.keep(texts.mapInArrow(_keyed(width), "key long, node long, wide binary"), "keyed"))
     often = texts.mapInArrow(_small_shingles(width, similarity), "shingle long").groupBy("shingle").count().filter("count > 8").orderBy(F.desc("count"), "shingle").limit(HOT)
@@ -270,7 +270,8 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
             rows = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["node", "component", "shingles"])
 
-    wanted = found.join(narrow, found.node == narrow.doc_id).select("node", "component", "text").dropDuplicates(["node"])
+    leads = scratch.keep(nodes.join(found, "node").select("doc_id", "seal", "node", "component"), "leads")  # its size is known then
+    wanted = narrow.join(leads, ["doc_id", "seal"]).select("node", "component", "text").dropDuplicates(["node"])
     held = scratch.keep(wanted.mapInArrow(sets, "node long, component long, shingles binary"), "sets")
     classes, todo, r = None, held, 0
     while True:
@@ -292,7 +293,9 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
         links = classes.filter("node <> cls").unionByName(more).toDF("u", "v")
         whole = scratch.keep(components(spark, links), "whole").toDF("cls0", "up")
         classes = scratch.keep(classes.join(whole, classes.node == whole.cls0, "left").select("node", F.coalesce("up", "node").alias("cls")), "all")
-    of = nodes.join(classes, "node", "left").select("digest", F.coalesce("cls", "node").alias("class_id"))
+    linked = scratch.keep(nodes.join(classes, "node").select("node", "doc_id", "cls"), "linked")
+    least = linked.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    of = nodes.join(linked.join(least, "cls").select("node", "class_id"), "node", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"))
     return digests.join(of, "digest").select("doc_id", "class_id")
 
 
