@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.operators import ngrams, rows as R
+from textloom.operators import ngrams, permutation, rows as R
+from textloom.operators.splits import running
 from textloom.plans.registry import query, table
 
 CP = "list_transform(list_filter(string_split({}, ''), lambda c: c <> ''), lambda c: unicode(c))"
@@ -123,3 +124,15 @@ def epoch_order(spark, d):
     before = running(x.groupBy("b").agg(F.count("*").alias("n")), F.col("n"), "b").select("b", "before")
     rank = F.row_number().over(Window.partitionBy("b").orderBy("k", "doc_id"))
     return x.join(before, "b").select("doc_id", (F.col("before") + rank - 1).cast("long").alias("place"))
+
+
+_NUMBERED = "select doc_id id, count(*) over () n, row_number() over (order by doc_id) - 1 x from documents"
+_HALVES = f"select id, n, greatest(1, (length(bin(greatest(1, n - 1))) + 1) // 2) h, x from ({_NUMBERED})"
+
+
+@query("epoch_places", f"with recursive w as ({permutation.pass_sql(_HALVES, 1337, 2)} union all {permutation.pass_sql('select * from w where x >= n', 1337, 2)}) select id doc_id, x place from w where x < n")
+def epoch_places(spark, d):
+    """The place of each document in an epoch by a keyed permutation of their numbers."""
+    numbered = running(table(spark, d, "documents").select("doc_id"), F.lit(1)).select("doc_id", F.col("before").alias("number"), "total")
+    n = numbered.agg(F.max("total")).first()[0] or 0
+    return permutation.with_places(numbered.drop("total"), n, 1337, 2).select("doc_id", "place")
