@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions import tables
 from textloom.functions import text as T
 from textloom.operators import dedup, provenance, splits
-from textloom.plans.registry import query, table
+from textloom.plans.registry import ORACLE_SQL, query, table
 
 S, L = T.RE2_SPACE, T.RE2_LINE
 SEED, FRACTION = 1337, 0.1
@@ -69,6 +70,15 @@ def segment_documents(spark, d):
     return splits.segments(docs, "text").groupBy("doc_id").agg(F.count("*").alias("n_docs"), F.sum(F.length("doc")).alias("n_chars"))
 
 
+@query("segment_table", ORACLE_SQL["segment_documents"])
+def segment_table(spark, d):
+    """The same by the table function, from SQL."""
+    tables.register(spark)
+    gap = F.when(F.col("doc_id") % 3 == 0, ".\n\n# file: ").otherwise(".\n\n")
+    docs = table(spark, d, "documents").select("doc_id", F.replace("text", F.lit(". "), gap).alias("text"))
+    return spark.sql("select doc_id, count(*) n_docs, sum(length(doc)) n_chars from segments(table({docs}), 'text') group by doc_id", docs=docs)
+
+
 @query("hash_split", f"with u as ({SURVIVORS}) select doc_id, {SPLIT} split from documents join u using (doc_id)")
 def hash_split(spark, d):
     return splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("doc_id", "split")
