@@ -58,6 +58,31 @@ def segments(prompt: Column, parts: Column, supervise_execution: bool) -> tuple[
     return F.slice(whole, F.lit(1), F.size(whole) - 1), F.concat(F.array_repeat(F.lit(IGNORE), F.size(prompt) - 1), labels)
 
 
+def dataset(df: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(examples, dropped): every arm's examples with two masks, and how many of each kind are too long for the block.
+
+    ``df`` has kind, prompt (ids) and parts (ids, role).  ``targets`` supervises answers in every arm; ``execution``
+    holds what only some arms supervise, disjoint from it: the target with execution supervised where the answers'
+    has none.  A synthesis example has none of it.
+    """
+    plain = segments(F.col("prompt"), F.col("parts"), False)
+    treated = segments(F.col("prompt"), F.col("parts"), True)[1]
+    fits = F.size(F.flatten(F.transform("parts", lambda p: p["ids"]))) + F.size("prompt") - 1 <= block
+    more = F.zip_with(treated, "targets", lambda t, a: F.when((a == IGNORE) & (F.col("kind") != "synthesis"), t).otherwise(F.lit(IGNORE)))
+    examples = df.filter(fits).withColumn("inputs", plain[0]).withColumn("targets", plain[1]).withColumn("execution", more).drop("prompt", "parts")
+    dropped = df.groupBy("kind").agg(F.count_if(~F.coalesce(fits, F.lit(False))).alias("dropped"), F.count("*").alias("n"))
+    return examples, dropped
+
+
+def pairs(df: DataFrame, prompt: str, chosen: str, rejected: str, block: int) -> DataFrame:
+    """df with refusal, and of a usable pair both sides' inputs and targets: the shared prompt is masked in each."""
+    out = df.withColumn("refusal", pair_refusal(F.col(prompt), F.col(chosen), F.col(rejected), block))
+    for side, text in (("chosen", chosen), ("rejected", rejected)):
+        x, y = masked(char_ids(F.col(prompt)), char_ids(F.col(text)))
+        out = out.withColumn(f"{side}_inputs", F.when(F.col("refusal").isNull(), x)).withColumn(f"{side}_targets", F.when(F.col("refusal").isNull(), y))
+    return out
+
+
 def collated(df: DataFrame, batch: str = "batch") -> DataFrame:
     """Pads x and y of each batch to its longest row; a batch's length is an aggregate joined back."""
     longest = df.groupBy(batch).agg(F.max(F.size("x")).alias("_n"))

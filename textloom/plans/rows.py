@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.operators import ngrams, permutation, rows as R
+from textloom.functions.text import RE2_SPACE
+from textloom.operators import fimstream, ngrams, permutation, rows as R
 from textloom.operators.splits import running
-from textloom.plans.registry import query, table
+from textloom.plans.registry import ORACLE_SQL, query, table
 
 CP = "list_transform(list_filter(string_split({}, ''), lambda c: c <> ''), lambda c: unicode(c))"
 TURNS = "(select conv_id, string_agg(text, chr(10) order by turn) filter (role in ('system', 'user')) prompt, string_agg(text, chr(10) order by turn) filter (role = 'assistant') answer from conversations group by conv_id)"
@@ -136,3 +137,51 @@ def epoch_places(spark, d):
     numbered = running(table(spark, d, "documents").select("doc_id"), F.lit(1)).select("doc_id", F.col("before").alias("number"), "total")
     n = numbered.agg(F.max("total")).first()[0] or 0
     return permutation.with_places(numbered.drop("total"), n, 1337, 2).select("doc_id", "place")
+
+
+_DATASET = f"""with t as (select * from {TURNS} where prompt <> '' and answer <> ''), i as (select conv_id, case when conv_id % 3 = 0 then 'synthesis' else 'execution' end kind, {CP.format('prompt')} p, case when conv_id % 3 = 0 then [] else {CP.format("'run ' || conv_id")} end e, {CP.format('answer')} a from t), f as (select *, len(p) + len(e) + len(a) - 1 <= 4096 fits from i)"""
+
+
+def _dataset(spark, d):
+    part = lambda ids, role: F.struct(ids.alias("ids"), F.lit(role).alias("role"))
+    answer = part(R.char_ids(F.col("answer")), "answer")
+    run = part(R.char_ids(F.concat(F.lit("run "), F.col("conv_id").cast("string"))), "execution")
+    synthesis = F.col("conv_id") % 3 == 0
+    t = _turns(spark, d).filter("prompt <> '' and answer <> ''")
+    rows = t.select("conv_id", F.when(synthesis, "synthesis").otherwise("execution").alias("kind"), R.char_ids(F.col("prompt")).alias("prompt"), F.when(synthesis, F.array(answer)).otherwise(F.array(run, answer)).alias("parts"))
+    return R.dataset(rows, 4096)
+
+
+@query("dataset_rows", f"{_DATASET}, x as (select conv_id, kind, array_to_string((p || e || a)[1:len(p) + len(e) + len(a) - 1], ',') inputs, array_to_string(list_transform(range(0, len(p) + len(e) - 1), lambda z: -1) || a, ',') targets, array_to_string(list_transform(range(0, len(p) - 1), lambda z: -1) || e || list_transform(range(0, len(a)), lambda z: -1), ',') execution from f where fits) select conv_id, kind, sha256(inputs) inputs, sha256(targets) targets, sha256(execution) execution from x")
+def dataset_rows(spark, d):
+    """Examples of both kinds with the two masks."""
+    examples = _dataset(spark, d)[0]
+    return examples.select("conv_id", "kind", *[F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("inputs", "targets", "execution")])
+
+
+@query("dataset_dropped", f"{_DATASET} select kind, count(*) filter (not fits) dropped, count(*) n from f group by kind")
+def dataset_dropped(spark, d):
+    return _dataset(spark, d)[1]
+
+
+@query("pair_encodings", f"""with p as (select doc_id, text from documents join labels using (doc_id) where quality is not null), q as (select doc_id, substr(text, 1, 40) prompt, substr(text, 41, length(text) // 2) chosen, substr(text, 41 + length(text) // 2) rejected from p),
+ r as (select *, coalesce(prompt, '') <> '' and coalesce(chosen, '') <> '' and coalesce(rejected, '') <> '' and chosen <> rejected and greatest(length(chosen), length(rejected)) + length(prompt) - 1 <= 1024 good from q), i as (select doc_id, good, {CP.format('prompt')} p, {CP.format('chosen')} c, {CP.format('rejected')} r from r)
+ select doc_id, good usable, case when good then sha256(array_to_string((p || c)[1:len(p) + len(c) - 1], ',')) end chosen_inputs, case when good then sha256(array_to_string(list_transform(range(0, len(p) - 1), lambda z: -1) || c, ',')) end chosen_targets, case when good then sha256(array_to_string((p || r)[1:len(p) + len(r) - 1], ',')) end rejected_inputs, case when good then sha256(array_to_string(list_transform(range(0, len(p) - 1), lambda z: -1) || r, ',')) end rejected_targets from i""")
+def pair_encodings(spark, d):
+    """Both sides of each preference pair as masked rows."""
+    p = table(spark, d, "documents").join(table(spark, d, "labels").filter("quality is not null"), "doc_id")
+    half = F.floor(F.length("text") / 2).cast("int")
+    q = p.select("doc_id", F.substring("text", 1, 40).alias("prompt"), F.substring(F.col("text"), F.lit(41), half).alias("chosen"), F.substring(F.col("text"), half + 41, F.length("text")).alias("rejected"))
+    out = R.pairs(q, "prompt", "chosen", "rejected", 1024)
+    return out.select("doc_id", F.col("refusal").isNull().alias("usable"), *[F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("chosen_inputs", "chosen_targets", "rejected_inputs", "rejected_targets")])
+
+
+@query("fim_windows", f"""with p as ({ORACLE_SQL['fim_parts']}), i as (select doc_id, {CP.format('prefix')} p, {CP.format('middle')} m, {CP.format('suffix')} s, arrangement a from p),
+ d as (select doc_id, case a when 'psm' then [1114112] || p || [1114113] || s || [1114114] || m || [1114115] when 'spm' then [1114112, 1114113] || s || [1114114] || p || m || [1114115] else p end || [10, 10] ids from i join documents using (doc_id) where regexp_replace(text, '[{RE2_SPACE}]+', '', 'g') <> ''),
+ b as (select ids, sum(len(ids)) over (order by doc_id) - len(ids) base from d), t as (select base + generate_subscripts(ids, 1) - 1 pos, unnest(ids) id from b), w as (select sum(len(ids))::bigint - 2 total from d),
+ y as (select draw, ('0x' || substr(md5('window:1337:0:' || draw), 1, 15))::bigint % (total - 512) start from (select total, unnest(range(0, (total + 511) // 512)) draw from w)), z as (select draw, start, unnest(range(start, start + 513)) pos from y)
+ select draw, start, sha256(string_agg(id, ',' order by pos) filter (pos < start + 512)) inputs, sha256(string_agg(id, ',' order by pos) filter (pos > start)) targets from z join t using (pos) group by draw, start""")
+def fim_windows(spark, d):
+    """An epoch's windows over documents of which half have their middles moved."""
+    found = fimstream.windows(fimstream.stream(table(spark, d, "documents"), 1337, 0, 0.5), 512, 1337, 0)
+    return found.select("draw", "start", *[F.sha2(F.array_join(c, ","), 256).alias(c) for c in ("inputs", "targets")])
