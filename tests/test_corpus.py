@@ -102,8 +102,25 @@ def test_audit(spark, tmp_path):
     assert json.load(open(told + "/audit.json")) == report
     with pytest.raises(ValueError, match="already exists"):
         corpus.publish(told, {})
+    check = lambda **k: audit.validated(spark, out, told, **{"context": 20, "vocab_size": 300, "least": 4} | k)
+    audit.accept(told, [0, 1, 2, 5])
+    assert set(check()) == {"audit_sha256", "inspection_sha256", "tokenizer_sha256", "train_seal", "validation_seal"}
+    with pytest.raises(ValueError, match="already exists"):
+        audit.accept(told, [0])
+    for why, limits in (("fewer than 5", {"least": 5}), ("differ from the study", {"context": 21}), ("differ from the study", {"vocab_size": 299})):
+        with pytest.raises(ValueError, match=why):
+            check(**limits)
+    record = told + "/inspection/inspection.json"
+    good = open(record).read()
+    for change, why in (({"status": "rejected"}, "did not pass"), ({"audit_sha256": "0"}, "another audit"), ({"tokenizer_sha256": "0"}, "another tokenizer"), ({"inspected_windows": [0, 1, 2, 6]}, "not the audit's"), ({"inspected_windows": [0, 1, 2, True]}, "not the audit's"), ({"inspected_windows": [0, 1, 1, 0]}, "fewer than 4")):
+        open(record, "w").write(json.dumps(json.loads(good) | change))
+        with pytest.raises(ValueError, match=why):
+            check()
+    open(record, "w").write(good)
     with pytest.raises(ValueError, match="too few"):
         audit.audit(spark, out, str(tmp_path / "b"), vocab_size=260, context=10_000)
     spark.createDataFrame([("new", "more")], "path string, text string").write.mode("append").parquet(out + "/corpus/split=train")
     with pytest.raises(ValueError, match="not what its report says"):
         audit.audit(spark, out, str(tmp_path / "c"))
+    with pytest.raises(ValueError, match="train side changed"):
+        check()

@@ -141,7 +141,7 @@ def validators(spark, d):
     return e.select("event_id", R.finite(F.col("value")).alias("finite"), (F.col("value") == F.floor("value")).alias("whole"), R.hex_digest(F.sha2("props", 256)).alias("digest"))
 
 
-@query("row_mask_audit", "with t as (select conv_id, string_agg(text, chr(10) order by turn) filter (role in ('system', 'user')) p, string_agg(text, chr(10) order by turn) filter (role = 'assistant') a from conversations group by conv_id) select conv_id, true same_inputs, length(a) supervised from t where p <> '' and a <> ''")
+@query("row_mask_audit", "with t as (select conv_id, string_agg(text, chr(10) order by turn) filter (role in ('system', 'user')) p, string_agg(text, chr(10) order by turn) filter (role = 'assistant') a from conversations group by conv_id) select conv_id, list_transform(string_split(p || a, ''), lambda c: unicode(c))[1:length(p) + length(a) - 1] = list_concat(list_transform(string_split(p, ''), lambda c: unicode(c)), list_transform(string_split(a, ''), lambda c: unicode(c)))[1:length(p) + length(a) - 1] same_inputs, length(a) supervised from t where p <> '' and a <> ''")
 def row_mask_audit(spark, d):
     """Both encodings of a row have the same inputs, and every answer target is the answer's own token."""
     from textloom.operators import rows

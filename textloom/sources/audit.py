@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import bpefit
 from textloom.operators.splits import running
-from textloom.sources.corpus import SPLITS, publish, read_report
+from textloom.sources.corpus import SPLITS, publish, read_file, read_report
 from textloom.sources.scratch import Scratch
 
 
@@ -37,6 +37,18 @@ def window_starts(tokens: int, context: int, seed: int, windows: int) -> list[in
     return [draw.randint(i * (tokens - context) // windows, (i + 1) * (tokens - context) // windows) for i in range(windows)]
 
 
+def fingerprint(payload: dict) -> str:
+    """sha256 of a tokenizer's rules as canonical JSON, without how it was made."""
+    rules = {k: payload[k] for k in ("kind", "backend", "sentinels")}
+    return hashlib.sha256(json.dumps(rules, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def sides(texts: DataFrame) -> dict[str, dict]:
+    """By split: documents, characters, bytes, and a seal of all paths and texts, whatever files and order they are in."""
+    sums = texts.groupBy("split").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"), F.sha2(F.concat_ws(",", *[F.bit_xor(F.xxhash64("path", "text", F.lit(k))).cast("string") for k in range(4)]), 256).alias("seal"))
+    return {r.split: r.asDict() for r in sums.collect()}  # two rows
+
+
 def audit(spark: SparkSession, corpus: str, out: str, vocab_size: int = 8192, context: int = 1024, seed: int = 1337, windows: int = 10) -> dict:
     """Writes tokenizer.json, audit.json and windows.jsonl together, and returns the audit.
 
@@ -48,7 +60,7 @@ def audit(spark: SparkSession, corpus: str, out: str, vocab_size: int = 8192, co
         raise ValueError("context must be positive")
     report = read_report(corpus)
     texts = spark.read.parquet(f"{corpus}/corpus")
-    found = {r.split: r.asDict() for r in texts.groupBy("split").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).alias("bytes"), F.bit_xor(F.xxhash64("path", "text")).alias("seal")).collect()}
+    found = sides(texts)
     for split in SPLITS:
         if any(found.get(split, {}).get(k) != report["splits"][split][k] for k in ("files", "chars", "bytes")):
             raise ValueError(f"the {split} side is not what its report says")
@@ -70,8 +82,49 @@ def audit(spark: SparkSession, corpus: str, out: str, vocab_size: int = 8192, co
     piece = F.slice("ids", skip + 1, F.least(F.size("ids") - skip, F.col("start") + context - F.greatest("before", "start")).cast("int"))
     cut = placed.join(wanted, inside).groupBy("place", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("before", piece.alias("ids")))), lambda x: x["ids"])).alias("ids"))  # context ids a window
     shown = [{"index": r.place, "start_token": r.start, "tokens": len(r.ids), "text": bpefit.decode(payload, r.ids)} for r in cut.orderBy("place").collect()]
-    stats = {s: {**{k: found[s][k] for k in ("files", "chars", "bytes")}, "tokens": tokens[s], "tokens_per_byte": tokens[s] / found[s]["bytes"], "roundtrip": True} for s in SPLITS}
-    told = {"splits": stats, "records": report["records"], "excluded": report["excluded"], "vocab_size": 256 + payload["training"]["merges"], "requested_vocab_size": vocab_size, "tokenizer_sha256": hashlib.sha256(backend.encode()).hexdigest(), "context": context, "window_seed": seed, "training_windows": len(shown), "cross_split_overlap": 0}
+    stats = {s: {**{k: found[s][k] for k in ("files", "chars", "bytes", "seal")}, "tokens": tokens[s], "tokens_per_byte": tokens[s] / found[s]["bytes"], "roundtrip": True} for s in SPLITS}
+    told = {"splits": stats, "records": report["records"], "excluded": report["excluded"], "vocab_size": 256 + payload["training"]["merges"], "requested_vocab_size": vocab_size, "tokenizer_sha256": fingerprint(payload), "context": context, "window_seed": seed, "training_windows": len(shown), "cross_split_overlap": 0}
     lines = "".join(json.dumps(w, ensure_ascii=False) + "\n" for w in shown)
     publish(out, {"tokenizer.json": json.dumps(payload, ensure_ascii=False, sort_keys=True), "audit.json": json.dumps(told, indent=2, sort_keys=True) + "\n", "windows.jsonl": lines})
     return told
+
+
+def accept(folder: str, windows: list[int], accepted: bool = True) -> None:
+    """Records beside an audit which of its windows a person read, and whether they will do; an earlier record is refused."""
+    told = {"status": "passed" if accepted else "rejected", "inspected_windows": windows, "audit_sha256": _digest(f"{folder}/audit.json"), "tokenizer_sha256": _digest(f"{folder}/tokenizer.json")}
+    publish(f"{folder}/inspection", {"inspection.json": json.dumps(told, sort_keys=True)})
+
+
+def _digest(path: str) -> str:
+    return hashlib.sha256(read_file(path)).hexdigest()
+
+
+def validated(spark: SparkSession, corpus: str, folder: str, context: int, vocab_size: int, least: int = 10) -> dict:
+    """What a study may be fed: digests of the audit, its inspection, tokenizer and corpus; the first fault is an error.
+
+    The inspection must have passed and be of this very audit and tokenizer, with ``least`` distinct windows of it read;
+    the audit must be of this context and vocabulary, and both sides of the corpus as they were, kept whole by the
+    tokenizer and longer than the context.
+    """
+    told, seen = (json.loads(read_file(f"{folder}/{name}")) for name in ("audit.json", "inspection/inspection.json"))
+    read = seen.get("inspected_windows")
+    whole = isinstance(read, list) and all(type(i) is int and 0 <= i < told["training_windows"] for i in read)
+    tokenizer = json.loads(read_file(f"{folder}/tokenizer.json"))
+    backend = fingerprint(tokenizer)
+    found = sides(spark.read.parquet(f"{corpus}/corpus"))
+    rules = [
+        (seen.get("status") == "passed", "the inspection did not pass"),
+        (seen.get("audit_sha256") == _digest(f"{folder}/audit.json"), "the inspection is of another audit"),
+        (seen.get("tokenizer_sha256") == _digest(f"{folder}/tokenizer.json"), "the inspection is of another tokenizer"),
+        (whole, "the inspected windows are not the audit's"),
+        (whole and len(set(read)) >= least, f"fewer than {least} windows were inspected"),
+        (told.get("tokenizer_sha256") == backend, "the tokenizer is not the audited one"),
+        (told.get("context") == context and told.get("requested_vocab_size") == vocab_size, "context or vocabulary differ from the study's"),
+        (told.get("cross_split_overlap") == 0, "the sides overlap"),
+        *((found.get(s, {}).get("seal") == told["splits"][s]["seal"], f"the {s} side changed after the audit") for s in SPLITS),
+        *((told["splits"][s]["roundtrip"] is True and told["splits"][s]["tokens"] > context, f"the {s} side is not kept whole or too short") for s in SPLITS),
+    ]
+    for good, why in rules:
+        if not good:
+            raise ValueError(why)
+    return {"audit_sha256": _digest(f"{folder}/audit.json"), "inspection_sha256": _digest(f"{folder}/inspection/inspection.json"), "tokenizer_sha256": backend, **{f"{s}_seal": found[s]["seal"] for s in SPLITS}}

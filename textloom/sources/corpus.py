@@ -165,10 +165,15 @@ def write_corpus(records: DataFrame, path: str) -> dict:
     return read_report(path)
 
 
-def read_report(path: str) -> dict:
+def read_file(path: str) -> bytes:
+    """A small file, whole."""
     system, at = _at(path)
-    with system.open_input_stream(posixpath.join(at, "quality.json")) as f:
-        return json.loads(f.read())
+    with system.open_input_stream(at) as f:
+        return f.read()
+
+
+def read_report(path: str) -> dict:
+    return json.loads(read_file(f"{path.rstrip('/')}/quality.json"))
 
 
 def publish(path: str, files: dict[str, str]) -> None:
