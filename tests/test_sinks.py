@@ -95,3 +95,14 @@ def test_json_is_replaced_whole(spark, tmp_path):
         sinks.replace_json(spark, path, value)
         assert json.loads((tmp_path / "lock.json").read_text()) == value
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["lock.json"]
+
+
+def test_reports_and_candidates(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 1, 0.5), (None, 2, None)], "arm string, n int, loss double")
+    assert sinks.markdown(df, "Arms", ("one seed",)) == "# Arms\n\n| arm | n | loss |\n|-|-:|-:|\n| a\\|b | 1 | 0.5000 |\n| — | 2 | — |\n\n- one seed\n"
+    with pytest.raises(ValueError):
+        sinks.markdown(df, "Arms", limit=1)
+    made = spark.createDataFrame([("t1", "val", "x\n}\nmore"), ("t2", "val", "open")], "task_name string, split string, raw string")
+    sinks.write_candidates(made, str(tmp_path / "c"))
+    got = {r.task_name: (r.completion, r.stopped) for r in spark.read.json(str(tmp_path / "c")).collect()}
+    assert got == {"t1": ("x\n}\n", True), "t2": ("open", False)}

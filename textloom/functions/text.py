@@ -125,6 +125,15 @@ def truncate_after(text: Column, stop: str) -> Column:
     return F.when(F.instr(text, stop) > 0, F.substring(text, F.lit(1), F.instr(text, stop) + len(stop) - 1)).otherwise(text)
 
 
+#: A program's first line, alone on its line, and what follows up to the first example or the end.
+SPEC_HEADER = "(?ms)^(t[ \\t]+[0-9]+[ \\t]*$.*?)(?:\\nExample:|\\z)"
+
+
+def spec_header(context: Column) -> Column:
+    """The specification that a prompt states, without the examples after it; null if it states none."""
+    return F.nullif(F.regexp_extract(context, SPEC_HEADER.replace("(?ms)", "(?msd)"), 1), F.lit(""))
+
+
 def time_words(seconds: Column) -> Column:
     """Seconds in words: under a minute, minutes, or hours and minutes."""
     s = F.floor(seconds)

@@ -45,6 +45,17 @@ def example_lines(spark, d):
     return e.withColumn("error", F.try_parse_json(F.concat(F.lit("["), "args", F.lit("]"))).isNull())
 
 
+@query("spec_headers", f"""with c as (select conv_id, turn, substr(text, 1, 200) || chr(10) || case when turn % 3 = 0 then 'x t ' || turn else 't ' || turn || ' ' end || chr(10) || 'requires ' || conv_id || case when turn % 2 = 0 then chr(10) || 'Example: f(1) == 2' else '' end || chr(10) || substr(text, 1, 80) || case when turn % 4 = 1 then chr(10) || 't 9' || chr(10) || 'Example:' else '' end as context from conversations)
+ select conv_id, turn, nullif(regexp_extract(context, '{T.SPEC_HEADER}', 1), '') header from c""")
+def spec_headers(spark, d):
+    turn, text, line = F.col("turn").cast("string"), F.col("text"), F.lit("\n")
+    head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("x t "), turn)).otherwise(F.concat(F.lit("t "), turn, F.lit(" ")))
+    example = F.when(F.col("turn") % 2 == 0, "\nExample: f(1) == 2").otherwise("")
+    again = F.when(F.col("turn") % 4 == 1, "\nt 9\nExample:").otherwise("")
+    context = F.concat(F.substring(text, 1, 200), line, head, line, F.lit("requires "), F.col("conv_id").cast("string"), example, line, F.substring(text, 1, 80), again)
+    return table(spark, d, "conversations").select("conv_id", "turn", T.spec_header(context).alias("header"))
+
+
 @query("truncate_completion", "select conv_id, turn, sha1(case when contains(text, '.') then substr(text, 1, instr(text, '.')) else text end) cut from conversations")
 def truncate_completion(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.sha1(T.truncate_after(F.col("text"), ".")).alias("cut"))

@@ -135,6 +135,27 @@ def write_conversations(built: DataFrame, path: str) -> dict:
     return summary
 
 
+def markdown(report: DataFrame, title: str, notes: tuple[str, ...] = (), limit: int = 1000) -> str:
+    """A summary's rows, in their order, as a markdown table; numbers to the right, missing values as dashes.
+
+    A report is for reading: one of more than ``limit`` rows is an error, not cut.
+    """
+    rows = report.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report of more than {limit} rows")
+    cell = lambda v: "—" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+    rule = ["-:" if k in ("double", "float", "int", "bigint", "smallint", "tinyint") or k.startswith("decimal") else "-" for _, k in report.dtypes]
+    lines = [f"# {title}", "", f"| {' | '.join(report.columns)} |", f"|{'|'.join(rule)}|", *(f"| {' | '.join(map(cell, r))} |" for r in rows)]
+    return "\n".join([*lines, "", *(f"- {n}" for n in notes), ""])
+
+
+def write_candidates(generated: DataFrame, path: str, stop: str = "\n}\n") -> None:
+    """Completions as JSON lines: (task_name, split, raw) with the text through its first stop, and whether it has one."""
+    raw = F.col("raw")
+    closed = F.instr(raw, F.lit(stop)) > 0
+    generated.select("task_name", "split", T.truncate_after(raw, stop).alias("completion"), "raw", closed.alias("stopped")).write.mode("errorifexists").json(path)
+
+
 def newest(spark: SparkSession, path: str) -> DataFrame:
     """(newest): the latest change of a file under a folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.max("modificationTime").alias("newest"))
