@@ -177,3 +177,9 @@ def test_read_files_and_summary(spark, tmp_path):
     got = {r.path.rpartition("/")[2]: (r.text, r.word) for r in files.read_files(spark, str(tmp_path), max_bytes=100).collect()}
     assert got == {"a.txt": ("grüße", "read"), "b.bin": (None, "not text"), "c.html": ("one\ntwo", "read")}
     assert {(r.word, r.n) for r in files.summary(files.read_files(spark, str(tmp_path), max_bytes=3)).collect()} == {("too big", 2), ("not text", 1)}
+
+
+def test_running_totals_are_long(spark):
+    d = spark.range(8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 30_000_000).alias("text"))
+    assert splits.running(d.select("doc_id", F.lit(1).alias("n")), F.col("n")).schema["total"].dataType.simpleString() == "bigint"
+    assert splits.stratified(d, 10, 7).count() == 10  # a stratum's edge is total * 10 before it is divided
