@@ -183,3 +183,9 @@ def test_running_totals_are_long(spark):
     d = spark.range(8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 30_000_000).alias("text"))
     assert splits.running(d.select("doc_id", F.lit(1).alias("n")), F.col("n")).schema["total"].dataType.simpleString() == "bigint"
     assert splits.stratified(d, 10, 7).count() == 10  # a stratum's edge is total * 10 before it is divided
+
+
+def test_least_by_passes_over_nulls(spark):
+    rows = [("a", 1, None), ("a", 3, 2.0), ("a", 2, 2.0), ("a", None, 1.0), ("b", 4, None)]
+    got = spark.createDataFrame(rows, "k string, step long, value double").groupBy("k").agg(ledger.least_by("step", "value").alias("best")).collect()
+    assert dict(map(tuple, got)) == {"a": 2, "b": None}

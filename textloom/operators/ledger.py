@@ -18,6 +18,12 @@ def latest(df: DataFrame, step: Column, value: Column) -> Column:
     return F.max_by(value, step)
 
 
+def least_by(what: str, value: str) -> Column:
+    """What stands beside the least value, of equal values the least; a row without either counts for nothing."""
+    both = F.col(what).isNotNull() & F.col(value).isNotNull()
+    return F.min_by(what, F.when(both, F.struct(value, what)))
+
+
 def arm_summary(df: DataFrame, arm: str, value: str) -> DataFrame:
     v = F.col(value)
     return df.groupBy(arm).agg(F.count("*").alias("n"), F.round(F.avg(v), 9).alias("mean"), F.min(v).alias("lo"), F.max(v).alias("hi"), F.round(F.max(v) - F.min(v), 9).alias("spread"))

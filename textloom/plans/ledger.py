@@ -50,7 +50,7 @@ def consecutive_arms(spark, d):
 @query("latest_metric", f"select run, max(step) step, arg_max(value, step) value, arg_min(value, step) first_value, arg_min(step, value) best_step from {METRICS} where value is not null group by run")
 def latest_metric(spark, d):
     m = _metrics(spark, d).filter("value is not null")
-    return m.groupBy("run").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"), F.min_by("value", "step").alias("first_value"), F.min_by("step", F.struct("value", "step")).alias("best_step"))
+    return m.groupBy("run").agg(F.max("step").alias("step"), F.max_by("value", "step").alias("value"), F.min_by("value", "step").alias("first_value"), G.least_by("step", "value").alias("best_step"))
 
 
 @query("last_runs", f"select run, step, kind, rn from (select *, row_number() over (partition by kind order by step desc) rn from {METRICS}) where rn <= 15")
@@ -82,7 +82,7 @@ def bench_ratios(spark, d):
 @query("run_digest", "select event_type kind, count(*) n, count(distinct user_id) corpora, min(ts) first_ts, max(ts) last_ts, arg_min(event_id, value) best, count(*) filter (value > 90) untrusted from (select * from events order by event_id) group by event_type")
 def run_digest(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("corpora"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("event_id", F.struct("value", "event_id")).alias("best"), F.count_if(F.col("value") > 90).alias("untrusted"))
+    return e.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("corpora"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), G.least_by("event_id", "value").alias("best"), F.count_if(F.col("value") > 90).alias("untrusted"))
 
 
 @query("holdout_groups", "with h as (select sha1(lang || (doc_id % 3)) val_sha1, length(text) // 4000 val_chars, doc_id % 4 seed, source from documents) select val_sha1, val_chars, count(*) runs, count(distinct seed) seeds, array_to_string(list_sort(list_distinct(list(source))), ',') corpora from h group by all")
