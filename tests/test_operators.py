@@ -189,3 +189,12 @@ def test_least_by_passes_over_nulls(spark):
     rows = [("a", 1, None), ("a", 3, 2.0), ("a", 2, 2.0), ("a", None, 1.0), ("b", 4, None)]
     got = spark.createDataFrame(rows, "k string, step long, value double").groupBy("k").agg(ledger.least_by("step", "value").alias("best")).collect()
     assert dict(map(tuple, got)) == {"a": 2, "b": None}
+
+
+def test_portions_are_bounded_and_whole():
+    from textloom.operators.bpe import portions
+
+    texts = ["", "abc", "de", "x" * 9, "", "f"]
+    got = list(portions(texts, 5))
+    assert sum(got, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= 5 for p in got)
+    assert list(portions([], 5)) == []
