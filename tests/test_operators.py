@@ -198,3 +198,12 @@ def test_portions_are_bounded_and_whole():
     got = list(portions(texts, 5))
     assert sum(got, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= 5 for p in got)
     assert list(portions([], 5)) == []
+
+
+def test_strip_looks_at_ends_only(spark):
+    texts = ["", " ", "　\x1c a  b\u0085\n", "a", "é\xa0", "\x00 "]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    made = d.select("text", T.strip(F.col("text")).alias("s"), T.normalized(F.concat(F.lit("x  \n\t y\t\r\n"), "text")).alias("n"))
+    for r in made.collect():
+        assert r.s == r.text.strip()
+        assert r.n == "\n".join(x.rstrip() for x in ("x  \n\t y\t\n" + r.text).splitlines()).strip()

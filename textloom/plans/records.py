@@ -10,6 +10,7 @@ from textloom.operators import records as R
 from textloom.operators import splits
 from textloom.plans.corpus import FRACTION, PATH, SEED, SPLIT, SURVIVORS
 from textloom.plans.registry import query, table
+from textloom.sources.scratch import Scratch
 from textloom.streaming import probe
 
 SIDED = f"(select doc_id, text, {SPLIT} split from documents join ({SURVIVORS}) using (doc_id))"
@@ -26,9 +27,10 @@ def split_fingerprint(spark, d):
 @query("side_texts", f"with s as (select doc_id, text, split, coalesce(sum(length(text) + 2) over (partition by split order by doc_id rows between unbounded preceding and 1 preceding), 0) pos from {SIDED}) select doc_id, split, cast(pos as bigint) pos, sha1(text) h from s")
 def side_texts(spark, d):
     """The two sides as joined texts, kept as pieces with their places: a side is never one value."""
-    s = splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("doc_id", "text", "split")
-    side = lambda x: splits.running(s.filter(F.col("split") == x), F.length("text") + 2)
-    return side("train").unionByName(side("val")).select("doc_id", "split", F.col("before").cast("long").alias("pos"), F.sha1("text").alias("h"))
+    s = splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("doc_id", "split", F.length("text").alias("n"), F.sha1("text").alias("h"))
+    s = Scratch(spark, "sides").keep(s, "narrow")  # read by both sides, and by each one's ranges
+    side = lambda x: splits.running(s.filter(F.col("split") == x), F.col("n") + 2)
+    return side("train").unionByName(side("val")).select("doc_id", "split", F.col("before").cast("long").alias("pos"), "h")
 
 
 @query("token_split", f"with t as (select doc_id, len(string_split(text, ' ')) n from documents), r as (select *, coalesce(sum(n) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) before, sum(n) over () total from t) select doc_id, cast(greatest(0, least(n, floor(total * {1 - FRACTION}) - before)) as bigint) train_tokens, n::bigint n from r")
