@@ -207,3 +207,12 @@ def test_strip_looks_at_ends_only(spark):
     for r in made.collect():
         assert r.s == r.text.strip()
         assert r.n == "\n".join(x.rstrip() for x in ("x  \n\t y\t\n" + r.text).splitlines()).strip()
+
+
+def test_digest_heads_of_any_length():
+    rng = random.Random(3)
+    data = np.frombuffer(rng.randbytes(4000), np.uint8)
+    start = np.array([rng.randrange(3700) for _ in range(500)])
+    size = np.array([rng.choice([0, 1, 3, 4, 50, 55, 56, 63, 64, 119, 120, 200]) for _ in start])
+    got = leakage.digest_heads(data, start, size)
+    assert [f"{x:016x}" for x in got.tolist()] == [hashlib.md5(data[a : a + n].tobytes()).hexdigest()[:16] for a, n in zip(start, size)]

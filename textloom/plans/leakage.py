@@ -10,6 +10,7 @@ from textloom.operators import leakage as K
 from textloom.operators import splits
 from textloom.plans.corpus import FRACTION, NORM, SEED, SPLIT, SURVIVORS
 from textloom.plans.registry import query, table
+from textloom.sources.scratch import Scratch
 
 
 def winnow_sql(source: str, key: str) -> str:
@@ -51,8 +52,9 @@ def leak_lines(spark, d):
 @query("leak_content", f"select v.k as item_id, count(*) n, count(*) filter (v.h in (select h from {winnow_sql('documents', 'doc_id')})) n_in_train from {winnow_sql('benchmark', 'item_id')} v group by v.k")
 def leak_content(spark, d):
     train, val = _sides(spark, d)
-    marked = K.fingerprints(train, "_k").select("h").distinct().withColumn("hit", F.lit(True))
-    return K.fingerprints(val, "item_id").join(marked, "h", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("n_in_train"))
+    own = K.fingerprints(val, "item_id")
+    marked = K.met(own, K.fingerprints(train, "_k"), K.small(val)).withColumn("hit", F.lit(True))
+    return own.join(marked, "h", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.coalesce("hit", F.lit(False))).alias("n_in_train"))
 
 
 @query("leak_verdict", f"""with s as ({SCAN}), f as (select *, round(val_docs_in_train / greatest(val_docs, 1), 9) doc_frac, round(val_lines_in_train / greatest(val_lines, 1), 9) line_frac, round(val_shingles_in_train / greatest(val_shingles, 1), 9) content_frac from s),
@@ -76,6 +78,7 @@ ELIGIBILITY = f"""with u as ({SURVIVORS}), h as (select doc_id, lang, source, te
 def holdout_eligibility(spark, d):
     """What stands first against a claim on each corpus's held-out side: no text, the split, or leakage."""
     h = splits.hash_split(table(spark, d, "documents"), SEED, FRACTION).select("lang", "source", "split", T.normalized_hash(F.col("text")).alias("norm"), F.length("text").alias("n"))
+    h = Scratch(spark, "holdout").keep(h, "narrow")  # read three times; the split and the hash of lines cost more than its writing
     val, of = F.col("split") == "val", ["lang", "source"]
     c = h.groupBy(*of).agg(F.coalesce(F.sum(F.when(val, F.col("n"))), F.lit(0)).alias("val_chars"), F.sum("n").alias("total"), F.max("n").alias("top"), F.count_if(val).alias("docs"))
     met = h.filter(val).join(h.filter(~val).select(*of, "norm").distinct(), [*of, "norm"], "left_semi").groupBy(*of).agg(F.count("*").alias("met"))
