@@ -216,3 +216,14 @@ def test_digest_heads_of_any_length():
     size = np.array([rng.choice([0, 1, 3, 4, 50, 55, 56, 63, 64, 119, 120, 200]) for _ in start])
     got = leakage.digest_heads(data, start, size)
     assert [f"{x:016x}" for x in got.tolist()] == [hashlib.md5(data[a : a + n].tobytes()).hexdigest()[:16] for a, n in zip(start, size)]
+
+
+@pytest.mark.parametrize("order,letters", [(1, "ab"), (3, "abé日😀\0"), (3, "".join(map(chr, range(300, 900)))), (9, "".join(map(chr, range(300, 900))))])
+def test_gram_counts(order, letters):
+    from collections import Counter
+
+    rng = random.Random(order)
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(50)]
+    grams, n = ngrams.gram_counts(texts, order)
+    assert len(set(grams)) == len(grams)
+    assert dict(zip(grams, n.tolist())) == Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))

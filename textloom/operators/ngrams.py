@@ -2,31 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import let
+from textloom.operators.bpe import portions
 from textloom.operators.splits import hash_split
+from textloom.sources.scratch import Scratch
+
+#: Characters whose grams are counted at once in a task.
+AT_ONCE = 1 << 21
 
 
 def characters(df: DataFrame, text: str = "text") -> DataFrame:
-    """(ch, n): how often each character occurs.
+    """(ch, n): how often each character occurs."""
+    return counted(df, (1,), text).groupBy("gram").agg(F.sum("n").alias("n")).withColumnRenamed("gram", "ch")
 
-    Equal characters of one row are counted before the shuffle by sorting none of them: rows explode inside
-    the stage and the partial aggregate holds one entry a character.
-    """
-    return df.select(F.explode(F.split(text, "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
 
+def counted(df: DataFrame, orders: tuple[int, ...], text: str = "text", held: str | None = None) -> DataFrame:
+    """(gram, n, m): grams of several orders with how often they occur in rows that are not held and in those that are.
+
+    A gram has a row for each run of texts that is counted at once, so the rows are yet to be summed.  Only a
+    run's distinct grams leave its task, not a row for each place.
+    """
 
-def gram_list(text: str, order: int) -> Column:
-    """All grams of a text, repeats included."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    return let(chars, lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - order + 1, F.lit(0))), lambda _, i: F.concat(*(F.get(c, i + k) for k in range(order)))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sides = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for side in (False, True):
+                for some in portions([t for t, h in zip(texts, sides) if t and h is side], AT_ONCE):
+                    for order in orders:
+                        grams, n = gram_counts(some, order)
+                        none = np.zeros(len(n), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(none if side else n), pa.array(n if side else none)], names=["gram", "n", "m"])
+
+    return df.select(F.col(text).alias("t"), (F.col(held) if held else F.lit(False)).alias("h")).mapInArrow(run, "gram string, n long, m long")
+
+
+def gram_counts(texts: list[str], order: int) -> tuple[list[str], np.ndarray]:
+    """Distinct grams of texts and their counts; no gram goes over two texts.  A gram is a number to the base of the alphabet."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    alphabet = np.flatnonzero(np.bincount(codes))
+    place = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    ids, base = place[codes], len(alphabet)
+    length = np.array([len(t) for t in texts], np.int64)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(codes))  # characters up to the text's end
+    at = np.flatnonzero(left >= order)
+    key, size = ids[at], base
+    for j in range(1, order):
+        if size * base >= 1 << 62:
+            names, key = np.unique(key, return_inverse=True)
+            size = len(names)
+        key, size = key * base + ids[at + j], size * base
+    if size <= 1 << 22:
+        n = np.bincount(key)
+        found = np.flatnonzero(n)
+        first = np.zeros(len(n), np.int64)
+        first[key] = at  # any of a gram's places
+        n, first = n[found], first[found]
+    else:
+        _, which, n = np.unique(key, return_index=True, return_counts=True)
+        first = at[which]
+    flat = codes[first[:, None] + np.arange(order)].tobytes().decode("utf-32-le")
+    return [flat[i : i + order] for i in range(0, len(flat), order)], n.astype(np.int64)
 
 
 def grams(df: DataFrame, order: int, text: str = "text") -> DataFrame:
     """(gram, n) over each text's own characters."""
-    return df.select(F.explode(gram_list(text, order)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return counted(df, (order,), text).groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def contexts(counts: DataFrame, order: int) -> DataFrame:
@@ -36,7 +83,7 @@ def contexts(counts: DataFrame, order: int) -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str = "text") -> DataFrame:
     """(ch, id): distinct characters in code point order.  An alphabet is bounded by Unicode, so one task numbers it."""
-    chars = df.select(F.explode(F.array_distinct(F.split(text, ""))).alias("ch")).filter("ch <> ''").distinct()
+    chars = characters(df, text)
     ordered = chars.agg(F.array_sort(F.collect_set("ch")).alias("all"))
     return ordered.select(F.posexplode("all").alias("id", "ch")).select("ch", F.col("id").cast("long").alias("id"))
 
@@ -51,16 +98,17 @@ def unknown_characters(df: DataFrame, vocab: DataFrame, text: str = "text") -> D
 def baselines(df: DataFrame, seed: int, fraction: float, order: int = 3) -> DataFrame:
     """Uniform, frequency and n-gram cross-entropy of the validation side, in nats, bits and choices.
 
-    Both sides are counted in one pass over characters and one over grams.  A context's grams are summed apart from
+    Characters and grams of both sides are counted in one pass over the texts and kept.  A context's grams are summed apart from
     its size, ln((n + 1) / (d + v)) being a difference, so that no gram meets its context in a join.
     """
     sided = hash_split(df, seed, fraction).select("text", (F.col("split") == "val").alias("held"))
-    both = (F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("m"))
-    chars = sided.select("held", F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(*both)
+    every = counted(sided, tuple({1, order}), held="held").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    every = Scratch(df.sparkSession, "grams").keep(every, "counts")
+    chars = every.filter(F.length("gram") == 1).withColumnRenamed("gram", "ch")
     whole = chars.agg(F.count("*").alias("v"), F.sum("n").alias("t"))  # one row
     v = whole.select("v")
     freq = chars.crossJoin(whole).agg((-F.sum(F.col("m") * F.ln((F.col("n") + 1) / (F.col("t") + F.col("v")))) / F.sum("m")).alias("nats"))
-    counts = sided.select("held", F.explode(gram_list("text", order)).alias("gram")).groupBy("gram").agg(*both)
+    counts = every.filter(F.length("gram") == order)
     ctx = counts.groupBy(F.substring("gram", 1, order - 1).alias("ctx")).agg(F.sum("n").alias("d"), F.sum("m").alias("m"), F.sum(F.col("m") * F.ln(F.col("n") + 1)).alias("s"))
     tri = ctx.crossJoin(v).agg(((F.sum(F.col("m") * F.ln(F.col("d") + F.col("v"))) - F.sum("s")) / F.sum("m")).alias("nats"))
     named = v.select(F.lit("uniform").alias("model"), F.ln("v").alias("nats")).unionByName(freq.select(F.lit("frequency").alias("model"), "nats")).unionByName(tri.select(F.lit(f"{order}-gram").alias("model"), "nats"))
