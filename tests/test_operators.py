@@ -227,3 +227,12 @@ def test_gram_counts(order, letters):
     grams, n = ngrams.gram_counts(texts, order)
     assert len(set(grams)) == len(grams)
     assert dict(zip(grams, n.tolist())) == Counter(t[i : i + order] for t in texts for i in range(len(t) - order + 1))
+
+
+def test_encoding_by_alphabet_is_linear_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(rows, "AT_ONCE", 4)
+    docs = spark.createDataFrame([(1, "ab😀cz"), (2, None), (3, ""), (4, "zzb")], "doc_id int, text string").coalesce(1)
+    vocab = spark.createDataFrame([("a", 0), ("b", 1), ("😀", 2), ("c", 3)], "ch string, id long")
+    made = rows.encoded(docs, vocab)
+    assert {r.doc_id: r.ids for r in made.collect()} == {1: [0, 1, 2, 3], 2: None, 3: [], 4: [1]}
+    assert "Join" not in made._jdf.queryExecution().toString()

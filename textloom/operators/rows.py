@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from textloom.operators.bpe import portions
 from textloom.operators.splits import drawn
 
 IGNORE = -1
+#: Characters whose ids are found at once in a task.
+AT_ONCE = 1 << 21
 
 
 def char_ids(text: Column) -> Column:
@@ -16,11 +24,28 @@ def char_ids(text: Column) -> Column:
 
 
 def encoded(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ids: positions in the vocabulary (an alphabet, carried as one map); characters without one are dropped."""
-    ids = vocab.agg(F.map_from_entries(F.collect_list(F.struct("ch", "id"))).alias("_ids"))
-    joined = df.crossJoin(F.broadcast(ids))  # one row
-    known = F.filter(F.transform(F.split(text, ""), lambda c: F.element_at(F.col("_ids"), c)), lambda i: i.isNotNull())
-    return joined.withColumn("ids", known).drop("_ids")
+    """Adds ids: positions in the vocabulary (an alphabet, so Unicode bounds it); characters without one are dropped.
+
+    A character finds its id in a table of code points; a map is searched from its start for each.
+    """
+    rows = vocab.select(F.ascii("ch").alias("at"), "id").collect()  # an alphabet
+    ids = np.full(max([r["at"] for r in rows], default=0) + 2, -1, np.int64)
+    for r in rows:
+        ids[r["at"]] = r["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in portions(batch.column(text).to_pylist(), AT_ONCE):
+                codes = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32)
+                found = ids[np.minimum(codes, len(ids) - 1)]  # the last entry is no character's
+                ends = np.append(0, np.cumsum(found >= 0))[np.append(0, np.cumsum([len(t or "") for t in texts]))].astype(np.int32)
+                null = pa.array([t is None for t in texts])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[found >= 0]), mask=null)
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, len(texts)).columns, lists], names=[*batch.schema.names, "ids"])
+                at += len(texts)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("ids", ArrayType(LongType()))]))
 
 
 def windows(df: DataFrame, ids: str, block: int) -> DataFrame:
