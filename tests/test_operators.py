@@ -236,3 +236,17 @@ def test_encoding_by_alphabet_is_linear_and_whole(spark, monkeypatch):
     made = rows.encoded(docs, vocab)
     assert {r.doc_id: r.ids for r in made.collect()} == {1: [0, 1, 2, 3], 2: None, 3: [], 4: [1]}
     assert "Join" not in made._jdf.queryExecution().toString()
+
+
+def test_windows_are_cut_before_they_are_grouped(spark):
+    from textloom.operators import fimstream
+
+    docs = spark.createDataFrame([(i, "ab é " * (40 + i)) for i in range(9)], "doc_id long, text string")
+    stream = fimstream.stream(docs, 5, 0, 0.5)
+    flat = [x for r in stream.orderBy("before").collect() for x in r.ids]
+    made = fimstream.windows(stream, 16, 5, 0)
+    found = made.collect()
+    assert len(found) == -(-(len(flat) - 2) // 16)
+    assert all(r.inputs == flat[r.start : r.start + 16] and r.targets == flat[r.start + 1 : r.start + 17] for r in found)
+    grouped = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [draw" in x]
+    assert grouped and not any("slice(ids" in x.split("collect_list", 1)[1].split("]", 1)[0] for x in grouped)

@@ -34,7 +34,9 @@ def stream(docs: DataFrame, seed: int, epoch: int, rate: float, spm_rate: float
         raise ValueError("0 < rate <= 1 and 0 <= spm_rate <= 1")
     parts = fim(docs.filter(T.strip(F.col("text")) != ""), rate, spm_rate, seed, epoch)
     ids = F.concat(fim_ids(*(F.col(c) for c in ("prefix", "middle", "suffix", "arrangement"))), F.array(*(F.lit(i) for i in JOINER)))
-    return running(parts.select("doc_id", ids.alias("ids")), F.size("ids")).withColumn("total", (F.col("total") - len(JOINER)).cast("long"))
+    n = sum((F.length(c) for c in ("prefix", "middle", "suffix")), F.when(F.col("arrangement") == "plain", 0).otherwise(4) + len(JOINER))
+    placed = running(parts, n)  # dealt as text: ids take four bytes a character
+    return placed.select("doc_id", ids.alias("ids"), "before", (F.col("total") - len(JOINER)).cast("long").alias("total"))
 
 
 def windows(ids: DataFrame, block: int, seed: int, epoch: int) -> DataFrame:
@@ -58,5 +60,6 @@ def windows(ids: DataFrame, block: int, seed: int, epoch: int) -> DataFrame:
     met = cut.join(touched, "bucket").filter((F.col("at") <= F.col("start") + block) & (F.col("at") + n > F.col("start")))
     skip = F.greatest(F.col("start") - F.col("at"), F.lit(0))
     part = F.slice("ids", (skip + 1).cast("int"), F.least(n - skip, F.col("start") + block + 1 - F.greatest("at", "start")).cast("int"))
-    whole = met.groupBy("draw", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", part.alias("ids")))), lambda x: x["ids"])).alias("w"))  # block + 1 ids a window
+    parts = met.select("draw", "start", "at", part.alias("ids")).repartition("draw", "start")  # cut before they are grouped, or each window would carry whole pieces
+    whole = parts.groupBy("draw", "start").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("w"))  # block + 1 ids a window
     return whole.select("draw", "start", F.slice("w", 1, block).alias("inputs"), F.slice("w", 2, block).alias("targets"))
