@@ -4,9 +4,11 @@ import copy
 import itertools
 import json
 
+import duckdb
 import numpy as np
 
 from textloom.operators import specs
+from textloom.plans import catalog
 
 r = np.random.default_rng(12)
 fresh = itertools.count()
@@ -197,3 +199,28 @@ def test_reasons(spark):
     rows = [(i, made(), d) for i, d in enumerate(drafts.values())] + [(90, None, made()), (91, made(), made(requires=[v("b"), v("a")], methods=[{"name": "m", "params": [], "returns": [{"name": "q", "type": "int"}]}])), (92, None, None)]
     got = {x.id: x.change for x in specs.changes(spark.createDataFrame(rows, "id long, prompt string, draft string")).collect()}
     assert got == {**dict(enumerate(drafts)), 90: "the specification can't be read", 91: None, 92: "the specification can't be read"}
+
+
+def test_changes_read_their_rows_once_and_shuffle_nothing(spark):
+    df = spark.range(4).selectExpr("id", "cast(null as string) prompt", "'{' draft")
+    plan = specs.changes(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "Exchange" not in plan and "Join" not in plan
+
+
+def test_spec_changes_shuffles_lines_once(spark, tmp_path):
+    rows = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_discount double, l_tax double"
+    lines = [
+        (1, 1, 5, 3.0, 0.0, 0.0), (1, 3, 4, 30.0, 0.0, 0.08),  # the second parameter
+        (2, 1, 9, 1.0, 0.1, 0.0), (2, 2, 8, 1.0, 0.0, 0.0),  # a bound
+        (3, 1, 7, 1.0, 0.0, 0.0), (3, 1, 7, 2.0, 0.0, 0.0),  # nothing
+        (4, None, 7, 1.0, 0.1, 0.0), (4, 3, 6, None, None, 0.08),  # the first: a line without a number has no place
+        (5, 2, 7, 1.0, None, None), (5, 3, 6, float("nan"), 0.0, 0.0),  # nothing
+        (None, 3, 7, 1.0, 0.1, 0.08),  # no place without an order
+    ]
+    spark.createDataFrame(lines, rows).write.parquet(f"{tmp_path}/lineitem.parquet")
+    query = catalog.QUERIES["spec_changes"](spark, str(tmp_path))
+    assert query._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {r.id: r.change for r in query.collect()}
+    assert got == {1: "parameter 2 has another type", 2: "requires changed", 3: None, 4: "parameter 1 has another type", 5: None, None: "requires changed"}
+    sql = catalog.ORACLE_SQL["spec_changes"].replace("from lineitem", f"from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert set(got.items()) == set(duckdb.sql(sql).fetchall())
