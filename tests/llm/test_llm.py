@@ -395,6 +395,33 @@ def test_near_duplicates_of_short_texts(spark):
     assert all(got[i] == i - i % 2 for i in range(len(texts)))
 
 
+def test_near_duplicates_move_sketches_not_texts(spark, monkeypatch):
+    """Up to the candidates no table is made by shuffling texts."""
+    plans, keep = {}, neardup.Scratch.keep
+
+    def kept(self, df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return keep(self, df, name)
+
+    monkeypatch.setattr(neardup.Scratch, "keep", kept)
+    texts = [prose(n, 8100 + n) for n in (3, 40, 90, 150)]
+    texts += [t + " more" for t in texts]
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicate_classes(table(spark, texts), spark).collect()}
+    assert [got[i] for i in range(8)] == [0, 1, 2, 3, 4, 1, 2, 3]
+    assert all("Join" not in plans[name] and "text#" not in plans[name] for name in ("nodes", "keyed", "short"))
+
+
+def test_sketch_keys():
+    """The keys of many prints at once are each print's own, without repeats."""
+    prints = np.random.default_rng(8200).integers(0, 1 << 63, (50, neardup.TABLES), np.uint64)
+    prints[0] = 0
+    keys, row = neardup.sketch_keys(prints)
+    for i, p in enumerate(prints):
+        index = simhash.golay_indices((p >> np.uint64(23)) & np.uint64(0x7FFFFF)).astype(np.uint64)
+        want = (np.arange(neardup.TABLES, dtype=np.uint64)[:, None] << np.uint64(40)) | ((p & np.uint64(0x7FFFFF))[:, None] << np.uint64(12)) | index
+        assert np.array_equal(np.sort(keys[row == i]), np.unique(want))
+
+
 def test_toxicity(spark, empty):
     bad = ["idiot", "moron", "scum"]
     texts = [prose(30, 300 + i) + (" " + bad[i % 3] + " you " + bad[(i + 1) % 3] if i % 4 == 0 else "") for i in range(240)] + [None, ""]

@@ -57,25 +57,45 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate keys and wide fingerprint of a non-empty shingle set."""
+    """Short fingerprint in each table and wide fingerprint of a non-empty shingle set."""
     prints = np.zeros(TABLES, np.uint64)
     for t in range(TABLES):
         h = _mix(shingles, _SALT[t])
         prints[t] = _majority(np.partition(h, LEAST - 1)[:LEAST] if len(h) > LEAST else h)
+    return prints, np.array([_majority(_mix(shingles, _SALT[32 + i])) for i in range(WIDE)], np.uint64)
+
+
+def sketch_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the candidate keys of (n, TABLES) short fingerprints; no row has a key twice."""
     exact, other = prints & np.uint64(0x7FFFFF), (prints >> np.uint64(23)) & np.uint64(0x7FFFFF)
-    index = golay_indices(other).astype(np.uint64)
-    keys = (np.arange(TABLES, dtype=np.uint64)[:, None] << np.uint64(40)) | (exact[:, None] << np.uint64(12)) | index
-    wide = np.array([_majority(_mix(shingles, _SALT[32 + i])) for i in range(WIDE)], np.uint64)
-    return np.unique(keys), wide
+    index = golay_indices(other.ravel()).astype(np.uint64).reshape(*prints.shape, 6)
+    keys = (np.arange(TABLES, dtype=np.uint64)[:, None] << np.uint64(40)) | (exact[:, :, None] << np.uint64(12)) | index
+    take = np.ones(index.shape, bool)
+    take[:, :, 1:] = index[:, :, 1:] != index[:, :, :1]  # fewer indices repeat their first
+    return keys[take], np.nonzero(take)[0]
+
+
+SKETCHES = "doc_id long, seal long, digest binary, prints binary, wide binary, shingles binary"
 
 
-def _content(width: int):
-    """(doc_id, seal, digest): the digests are equal for texts with the same words."""
+def _sketched(width: int, similarity: float):
+    """What a text is found by, so that texts themselves need not meet; all but id and seal are equal for texts with the same words.
+
+    Sets of over SMALL shingles have prints and a wide fingerprint; the sets that can be near one of SMALL, themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SKETCHES.split(", ")]
         for batch in batches:
-            digests = [hashlib.blake2b(b" ".join(words_of(t.as_py())), digest_size=16).digest() for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], names=["doc_id", "seal", "digest"])
+            made = []
+            for text in batch.column(2):
+                words = words_of(text.as_py())
+                s = np.unique(shingle_hashes(words, width))
+                digest = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                prints, wide = (x.tobytes() for x in sketch(s)) if len(s) > SMALL else (None, None)
+                made.append((digest, prints, wide, s.tobytes() if 0 < len(s) <= _largest(similarity) else None))
+            columns = zip(*made) if made else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], names=names)
 
     return run
 
@@ -85,18 +105,10 @@ def _largest(similarity: float) -> int:
     return int(SMALL / similarity + 1e-9)
 
 
-def _small_shingles(width: int, similarity: float):
-    """Shingles of the texts of so few words that all of theirs are few."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = _largest(similarity) + width - 1
-        for batch in batches:
-            words = (words_of(t.as_py()) for t in batch.column(1))
-            found = [np.unique(shingle_hashes(w, width)) for w in words if 0 < len(w) <= most]
-            h = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["shingle"])
-
-    return run
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of the sets, one a row."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64))], names=["shingle"])
 
 
 def prefix(shingles: np.ndarray, similarity: float, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -110,20 +122,19 @@ def prefix(shingles: np.ndarray, similarity: float, hot: np.ndarray, rank: np.nd
     return shingles[np.lexsort((shingles, late))[:take]]
 
 
-def _prefixed(width: int, similarity: float, order):
-    """(key, node, folds) of small texts; the folds are 16 bits of each shingle, equal for equal shingles."""
+def _prefixed(similarity: float, order):
+    """(key, node, folds) of small sets; the folds are 16 bits of each shingle, equal for equal shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, rank = order.value
         for batch in batches:
             keys, nodes, folds = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py(), width)
-                if 0 < len(s) <= _largest(similarity):
-                    k = prefix(s, similarity, hot, rank)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node, np.int64))
-                    folds += [np.sort(s.astype(np.uint16)).tobytes()] * len(k)
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(raw, np.uint64)
+                k = prefix(s, similarity, hot, rank)
+                keys.append(k)
+                nodes.append(np.full(len(k), node, np.int64))
+                folds += [np.sort(s.astype(np.uint16)).tobytes()] * len(k)
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             n = np.concatenate(nodes) if nodes else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(folds, pa.binary())], names=["key", "node", "wide"])
@@ -164,21 +175,12 @@ def _link_small(similarity: float):
     return run
 
 
-def _keyed(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, nodes, wides = [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingle_set(text.as_py(), width)
-                if len(s) > SMALL:
-                    k, w = sketch(s)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), node, np.int64))
-                    wides += [w.tobytes()] * len(k)
-            k, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, nodes))
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(n), pa.array(wides, pa.binary())], names=["key", "node", "wide"])
-
-    return run
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, wide) of the candidate keys of (node, prints, wide)."""
+    for batch in batches:
+        prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, TABLES)
+        keys, row = sketch_keys(prints)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), batch.column(0).take(pa.array(row)), batch.column(2).take(pa.array(row))], names=["key", "node", "wide"])
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,21 +251,26 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     """
     scratch = Scratch(spark, "neardup")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("seal"), "text")
-    digests = scratch.keep(narrow.mapInArrow(_content(width), "doc_id long, seal long, digest binary"), "digests")
+    # Texts are read once and stay where they are: copies meet by digest, and the others by the sketches made beside it.
+    sketches = scratch.keep(narrow.mapInArrow(_sketched(width, similarity), SKETCHES), "sketches")
     # A node is a digest, numbered; the row that stands for it is found by id and seal, as ids may repeat.
-    nodes = scratch.keep(digests.groupBy("digest").agg(F.min(F.struct("doc_id", "seal")).alias("lead")).select("digest", "lead.*").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    texts = narrow.join(nodes.select("doc_id", "seal", "node"), ["doc_id", "seal"]).select("node", "text").dropDuplicates(["node"])
+    same = [F.first(c).alias(c) for c in ("prints", "wide", "shingles")]
+    nodes = sketches.groupBy("digest").agg(F.min(F.struct("doc_id", "seal")).alias("lead"), *same).withColumn("node", F.monotonically_increasing_id())
+    nodes = scratch.keep(nodes.select("digest", "lead.*", "node", "prints", "wide", "shingles"), "nodes")
     by_bucket = lambda df: dealt(df, spark).repartition(shuffle_parts(spark), "key", "a", "b").sortWithinPartitions("key", "a", "b")
-    met = by_bucket(scratch.keep(texts.mapInArrow(_keyed(width), "key long, node long, wide binary"), "keyed"))
-    often = texts.mapInArrow(_small_shingles(width, similarity), "shingle long").groupBy("shingle").count().filter("count > 8").orderBy(F.desc("count"), "shingle").limit(HOT)
+    met = by_bucket(scratch.keep(nodes.filter("prints is not null").select("node", "prints", "wide").mapInArrow(_keyed, "key long, node long, wide binary"), "keyed"))
+    small = nodes.filter("shingles is not null")
+    often = small.select("shingles").mapInArrow(_members, "shingle long").groupBy("shingle").count().filter("count > 8").orderBy(F.desc("count"), "shingle").limit(HOT)
     seen = often.toArrow()
     hot, rank = (seen.column(c).to_numpy() for c in ("shingle", "count"))
     hot = hot.view(np.uint64)
     order = spark.sparkContext.broadcast((hot[np.argsort(hot)], rank[np.argsort(hot)]))
-    short = texts.mapInArrow(_prefixed(width, similarity, order), "key long, node long, wide binary")
+    short = small.select("node", "shingles").mapInArrow(_prefixed(similarity, order), "key long, node long, wide binary")
     near = by_bucket(scratch.keep(short, "short"))
     both = met.mapInArrow(_link, "u long, v long").unionByName(near.mapInArrow(_link_small(similarity), "u long, v long"))
     found = scratch.keep(components(spark, both.distinct()), "candidates")
+    for name in ("keyed", "short"):
+        scratch.drop(name)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,6 +280,7 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     leads = scratch.keep(nodes.join(found, "node").select("doc_id", "seal", "node", "component"), "leads")  # its size is known then
     wanted = narrow.join(leads, ["doc_id", "seal"]).select("node", "component", "text").dropDuplicates(["node"])
     held = scratch.keep(wanted.mapInArrow(sets, "node long, component long, shingles binary"), "sets")
+    scratch.drop("leads")
     classes, todo, r = None, held, 0
     while True:
         parts = F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum(F.octet_length("shingles")) / PART_BYTES))
@@ -296,7 +304,7 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
     linked = scratch.keep(nodes.join(classes, "node").select("node", "doc_id", "cls"), "linked")
     least = linked.groupBy("cls").agg(F.min("doc_id").alias("class_id"))
     of = nodes.join(linked.join(least, "cls").select("node", "class_id"), "node", "left").select("digest", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return digests.join(of, "digest").select("doc_id", "class_id")
+    return sketches.select("doc_id", "digest").join(of, "digest").select("doc_id", "class_id")
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
