@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.common import Scratch, shuffle_parts
 from textloom.llm.components import buckets, components, dealt
+from textloom.llm.decontaminate import FILTER_BITS, _bitmap, _probes
 from textloom.llm.simhash import forest, golay_indices, shingle_hashes, words_of
 
 TABLES, LEAST = 10, 4
@@ -278,7 +279,19 @@ def near_duplicate_classes(docs: DataFrame, spark: SparkSession, width: int = 5,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], names=["node", "component", "shingles"])
 
     leads = scratch.keep(nodes.join(found, "node").select("doc_id", "seal", "node", "component"), "leads")  # its size is known then
-    wanted = narrow.join(leads, ["doc_id", "seal"]).select("node", "component", "text").dropDuplicates(["node"])
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], (leads.count() * 16).bit_length()))
+    seals = spark.sparkContext.broadcast(_bitmap(leads.select(F.col("seal").alias("hash")), bits))  # 2^27 bits at most
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All rows of the leads' seals, and few others: only these meet the leads."""
+        for batch in batches:
+            hit = np.ones(batch.num_rows, bool)
+            for at in _probes(batch.column(1).to_numpy().view(np.uint64), bits):
+                hit &= (seals.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1) > 0
+            yield batch.filter(pa.array(hit))
+
+    passed = narrow.mapInArrow(passing, "doc_id long, seal long, text string")
+    wanted = passed.join(leads, ["doc_id", "seal"]).select("node", "component", "text").dropDuplicates(["node"])
     held = scratch.keep(wanted.mapInArrow(sets, "node long, component long, shingles binary"), "sets")
     scratch.drop("leads")
     classes, todo, r = None, held, 0
