@@ -474,3 +474,26 @@ def test_repeats_with_null_and_repeated_ids(spark):
     got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in suffixes.remove_repeats(rows, spark).collect())
     n = len(long.encode())
     assert got == sorted([(n, n, 1), (len(prose(150, 901).encode()), 0, 0), (n, n, 1), (0, 0, 0)])
+
+
+def test_repeats_leave_texts_and_spans(spark, tmp_path):
+    """A passage of over 50 words in two documents is gone from both, one under 400 bytes stays, a text without repeats stays as it is."""
+    long, short, clean, wide = prose(90, 910), prose(52, 911), prose(200, 912), "ü" * 250 + "é" * 20
+    texts = [prose(40, 913) + long + prose(40, 914), long + prose(30, 915), clean, short + prose(40, 916), prose(40, 917) + short, None, wide + "ö" * 30, "a" + wide + "õ" * 30]
+    assert len(long.encode()) >= 400 > len(short.encode())
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + 400] for b in raws for i in range(len(b) - 399))
+    table(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffixes.op2_suffix_array_dedup(spark, str(tmp_path)).collect()}
+    kept = {r.doc_id: r for r in suffixes.without_repeats(table(spark, texts), spark).collect()}
+    for i, b in enumerate(raws):
+        gone = {k for j in range(len(b) - 399) if seen[b[j : j + 400]] > 1 for k in range(j, j + 400)}
+        left = bytes(x for k, x in enumerate(b) if k not in gone)
+        starts, stops = sorted(k for k in gone if k - 1 not in gone), sorted(k + 1 for k in gone if k + 1 not in gone)
+        assert bytes(kept[i].kept) == left and [tuple(x) for x in kept[i].spans] == list(zip(starts, stops)), i
+        assert got[i].spans == ",".join(f"{a}:{z}" for a, z in zip(starts, stops)), i
+        assert got[i].kept_text == left.decode("utf-8", "replace"), i
+        assert tuple(got[i])[1:5] == (len(b), len(gone), len(starts), hashlib.sha256(left).hexdigest()), i
+    assert all(long not in got[i].kept_text and got[i].n_removed >= len(long.encode()) for i in (0, 1))
+    assert got[2].kept_text == clean and all(short in got[i].kept_text for i in (3, 4)) and got[5].kept_text == ""
+    assert "�" in got[6].kept_text + got[7].kept_text  # the common run ends inside a character: ö and õ share a first byte
