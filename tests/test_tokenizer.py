@@ -118,3 +118,55 @@ def test_memo(spark, tmp_path):
     away = path.rename(tmp_path / "away.json")
     assert {r.doc_id: r.ids for r in bpe.encode_cached(first, str(path), memo, "f1").collect()} == want  # all from the memo
     assert {r.doc_id: r.ids for r in bpe.encode_cached(first, str(away), "nosuch://memo", "f1").collect()} == want
+
+
+ODD = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "'", "'s", "'re", "'l", "''", "a", "bc", "é", "日本", "の", "ж", "1", "²", "_", "!", "’", "\u0301", "😀", "\u0378", "한", "\x00", "e", "ll"]
+
+
+@pytest.mark.parametrize("size", [256, 300, 420])
+def test_encoder_in_columns_equals_the_library(size):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from textloom.operators import pieces
+
+    rng = np.random.default_rng(size)
+    texts = ["".join(rng.choice(ODD, rng.integers(0, 25))) for _ in range(3000)] + ["", "'s", "a" * 400 + " b", "x" + " " * 9]
+    learned = bpefit.tokenizer_json(one_at_a_time(texts[:300], size, 1))
+    library, encoder = Tokenizer.from_str(learned), bpefit.Encoder(learned)
+    asked = []
+    encoder._by_library, inner = lambda part: (asked.extend(part), inner(part))[1], encoder._by_library
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    for share in (200, 1 << 24):
+        got = [encoder.texts(s) for s in pieces.shares(pa.array([*texts, None]), share)]
+        assert np.concatenate([n for n, _ in got]).tolist() == [*want, 0] and not any(other for _, other in got)
+    asked.clear()
+    (share,) = pieces.shares(pa.array(["for a while, it's the " + "\u0378 " * 50] * 200))
+    encoder.texts(share)
+    assert asked == [" \u0378"]  # each distinct stretch once, settled ones not at all
+
+
+def test_encoder_tells_texts_that_are_not_kept():
+    import pyarrow as pa
+
+    encoder = bpefit.Encoder(bpefit.tokenizer_json([]))
+    encoder.spelled = np.roll(encoder.spelled, 1)  # columns decode wrongly: the library has the last word
+    (texts,) = bpefit.pieces.shares(pa.array(["ab", "c", None]))
+    assert encoder.texts(texts)[1] == {} and encoder.texts(texts)[0].tolist() == [2, 1, 0]
+    encoder._by_library = lambda part: [(len(t), b"?") for t in part]
+    assert encoder.texts(texts)[1] == {0: b"?", 1: b"?"}
+
+
+def test_fitted_tokens_of_odd_documents(spark, tmp_path):
+    import duckdb
+
+    from textloom.plans.catalog import ORACLE_SQL, QUERIES
+
+    rng = np.random.default_rng(5)
+    texts = [None, "", *("".join(rng.choice([c for c in ODD if c != "\x00"], rng.integers(1, 40))) for _ in range(80)), *TEXTS[2:]]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(x) for x in QUERIES["fitted_tokens"](spark, str(tmp_path)).select("doc_id", "n_tokens", "decoded_sha1").collect())
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.execute(f"select doc_id, n_tokens, decoded_sha1 from ({ORACLE_SQL['fitted_tokens']})").fetchall())
+    assert got[0] == (0, 0, None)
